@@ -6,10 +6,11 @@ A word goes if a window of ``window`` words that covers it also starts in a docu
    go first. The windows around the others are hashed (96 bits) and combined by hash and block of
    documents; windows of several documents are confirmed, with the smallest id that holds each.
 2. Compile. Documents are dealt into blocks of about ``block_bytes``. Each block gets the confirmed
-   windows found in it and compiles them into Aho-Corasick automata of at most ``shard_patterns``
-   patterns, a word being one symbol. A phrase that all documents hold costs one pattern a block.
-3. Locate. All documents of the block stream through its automata; an occurrence goes if the phrase's
-   first document is smaller.
+   windows found in it, joins them to passages, and compiles the passages' seeds (phrases so placed that
+   each window holds one) into Aho-Corasick automata of at most ``shard_patterns`` patterns, a word
+   being one symbol. A phrase that all documents hold costs one row a block.
+3. Locate. All documents of the block stream through its automata. The windows about an occurrence are
+   compared word by word with the passage; those whose first document is smaller go.
 """
 
 from __future__ import annotations
@@ -88,25 +89,40 @@ def _confirm(batches, window, k, n_blocks):
         yield pa.RecordBatch.from_arrays([pa.array(w[a].view(np.int64)), pa.array(v[a].view(np.int32)), pa.array(blk[a]), pa.array(d[a]), pa.array(d[z] if len(z) else d)], names=["w", "v", "block", "lo", "hi"])
 
 
-def compile_shards(symbols: np.ndarray, firsts: np.ndarray, window: int, shard_patterns: int):
-    """Automata over the distinct rows of symbols (a pattern's words as numbers), with their first document.
+def seeds(holders: np.ndarray, window: int) -> np.ndarray:
+    """Word positions (a row per seed) of the phrases that stand for the windows at holders (ascending).
 
-    Yields (automaton, word -> character, first document by pattern). A shard's words get characters of
-    their own, so that it has fewer than 1,100,000 of them; all other words are the character 0.
+    Consecutive windows are one passage. Every window of a passage holds one of its seeds, the half-window
+    phrases at each half window of it, so the automata need a seventh of the windows as patterns.
+    """
+    half = (window + 1) // 2
+    first = np.append(True, np.diff(holders) != 1)
+    head = np.flatnonzero(first)
+    n = np.diff(np.append(head, len(holders)))
+    count = (n + half - 2) // half + 1
+    at = np.repeat(holders[head], count) + half * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    return at[:, None] + np.arange(half)
+
+
+def compile_shards(symbols: np.ndarray, shard_patterns: int):
+    """Aho-Corasick automata over the distinct rows of symbols (a phrase's words as numbers).
+
+    Yields (automaton, its words in ascending order, phrase length). The words of a shard get the
+    characters 1, 2, ..., so that it has fewer than 1,100,000 of them; all other words are character 0.
     """
     import ahocorasick
 
-    most = max(1, min(shard_patterns, 1_000_000 // window))
+    size = symbols.shape[1]
+    most = max(1, min(shard_patterns, 1_000_000 // size))
     for a in range(0, len(symbols), most):
         part = symbols[a : a + most]
         used, coded = np.unique(part, return_inverse=True)
-        coded = (coded.reshape(part.shape) + 1).astype(np.uint32)
-        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        text = coded.tobytes().decode("utf-32-le", "surrogatepass")
-        for i in range(len(part)):
-            auto.add_word(text[i * window : (i + 1) * window], i)
+        auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        text = _safe(coded.ravel() + 1)
+        for i in range(0, len(text), size):
+            auto.add_word(text[i : i + size])
         auto.make_automaton()
-        yield auto, used, firsts[a : a + most]
+        yield auto, used, size
 
 
 def _safe(codes: np.ndarray) -> str:
@@ -131,37 +147,44 @@ def _locate(left: pa.Table, right: pa.Table, names, window, shard_patterns):
         pw, pv, pm = pw[order], pv[order], pm[order]
         new = np.append(True, (pw[1:] != pw[:-1]) | (pv[1:] != pv[:-1]))
         pw, pv, pm = pw[new], pv[new], pm[new]
-        holder = np.full(len(pw), -1, np.int64)
+        pat = np.full(len(starts), -1, np.int64)
         for lo, hi in row_groups(offs, CHUNK):
             a, z = int(wo[lo]), int(wo[hi])
             p = R.prefix(hashes[a:z])
             at = np.arange(max(0, z - a - window + 1))
-            ok = at + window <= np.repeat(wo[lo + 1 : hi + 1] - a, np.diff(wo[lo : hi + 1]))[: len(at)]
-            at = at[ok]
+            at = at[at + window <= np.repeat(wo[lo + 1 : hi + 1] - a, np.diff(wo[lo : hi + 1]))[: len(at)]]
             w, v = _window_hashes(p, at, window)
             i = np.searchsorted(pw, w)
             i[i == len(pw)] = 0
             hit = (pw[i] == w) & (pv[i] == v)
-            holder[i[hit]] = at[hit] + a
-        have = holder >= 0
-        holder, pm = holder[have], pm[have]
-        if len(holder):
-            # words as numbers: by hash, which the block's own words confirm
+            pat[at[hit] + a] = i[hit]
+        known = np.flatnonzero(pat >= 0)
+        if len(known):
+            holder = np.full(len(pw), -1, np.int64)
+            holder[pat[known[::-1]]] = known[::-1]
             _, word = np.unique(hashes, return_inverse=True)
-            symbols = word[holder[:, None] + np.arange(window)]
-            for auto, used, firsts in compile_shards(symbols, pm, window, shard_patterns):
+            near = np.zeros(len(starts) + 1, np.int64)
+            for auto, used, size in compile_shards(word[seeds(np.sort(holder[holder >= 0]), window)], shard_patterns):
                 code = np.zeros(int(word.max()) + 1, np.uint32)
                 code[used] = np.arange(1, len(used) + 1)
                 for r in range(n):
                     a, z = int(wo[r]), int(wo[r + 1])
                     if z - a < window:
                         continue
-                    hits = list(auto.iter(_safe(code[word[a:z]])))
-                    if hits:
-                        h = np.array(hits, np.int64)
-                        e = h[firsts[h[:, 1]] < ids[r], 0] + a + 1
-                        np.add.at(gone, e - window, 1)
-                        np.add.at(gone, e, -1)
+                    e = np.fromiter((x for x, _ in auto.iter(_safe(code[word[a:z]]))), np.int64)
+                    if len(e):
+                        e += a + 1
+                        np.add.at(near, np.maximum(e - window, a), 1)
+                        np.add.at(near, e - size + 1, -1)
+            s = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (pat >= 0))
+            row = np.searchsorted(wo, s, "right") - 1
+            s = s[pm[pat[s]] < ids[row]]
+            for lo in range(0, len(s), 1 << 18):
+                t = s[lo : lo + (1 << 18)]
+                own = holder[pat[t]]
+                t = t[np.all([word[t + j] == word[own + j] for j in range(window)], axis=0)]
+                np.add.at(gone, t, 1)
+                np.add.at(gone, t + window, -1)
     out = np.cumsum(gone[:-1]) > 0
     kept, n_words, n_gone = [], np.diff(wo), np.zeros(n, np.int64)
     raw = buf.tobytes()
@@ -173,7 +196,7 @@ def _locate(left: pa.Table, right: pa.Table, names, window, shard_patterns):
     return [pa.array(n_words.astype(np.int64)), pa.array(n_gone), pa.array(kept, pa.string())]
 
 
-def dedup_phrases(docs: DataFrame, window: int = 13, k: int = 5, block_bytes: int = 4 << 20, shard_patterns: int = 70_000) -> DataFrame:
+def dedup_phrases(docs: DataFrame, window: int = 13, k: int = 5, block_bytes: int = 4 << 20, shard_patterns: int = 140_000) -> DataFrame:
     """docs with ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space).
 
     Words are runs of bytes other than space and 09-0D. A null text has none. Documents of fewer words
