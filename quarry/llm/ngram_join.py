@@ -128,7 +128,7 @@ def verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, n: int, t_num: i
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """(o, th, doc_n, component) per row of docs: o the id to compare by, th the text's hash.
+    """(o, th, doc_n, component, comp) per row of docs: o the id to compare by, th the text's hash, comp the group.
 
     Null and empty texts, and texts of white space, have no shingles and stand alone. A null doc_id
     sorts last. Rows with one doc_id and other texts are linked by their texts only.
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
 
     of = meta.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = of.where("n > 0").groupBy("comp").agg(F.min("o").alias("component"))
-    out = of.join(least, "comp", "left").select("o", "th", F.col("n").alias("doc_n"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("o")).alias("component"))
+    out = of.join(least, "comp", "left").select("o", "th", F.col("n").alias("doc_n"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("o")).alias("component"), "comp")
     return out
 
 
@@ -190,9 +190,11 @@ def label(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component: that of the smallest id. Rows without shingles stay."""
-    o, th, t, c, n = fresh(docs, "o", "th", "t", "component", "doc_n")
-    found = near_duplicates(docs, **options).where("o = component")
-    found = found.groupBy(F.col("o").alias(o), F.col("component").alias(c)).agg(F.min("th").alias(th), F.max("doc_n").alias(n))
+    o, th, t, n = fresh(docs, "o", "th", "t", "doc_n")
+    all_rows = near_duplicates(docs, **options)
+    first = all_rows.where("doc_n > 0").groupBy("comp").agg(F.min(F.struct("o", "th")).alias("r")).select(F.col("r.o").alias(o), F.col("r.th").alias(th), F.lit(1).alias(n))
+    bare = all_rows.where("doc_n = 0").select(F.col("o").alias(o), F.col("th").alias(th), F.lit(0).alias(n)).distinct()
+    found = first.union(bare)
     keyed = docs.withColumns({o: ordinal(), t: text_of()}).withColumn(th, F.hash(t)).drop(t)
     out = keyed.join(found, [o, th])
     solo = F.row_number().over(Window.partitionBy(o, th).orderBy(F.lit(1)))
