@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .common import LAST, Workspace, column, fresh, ordinal, text_of
+from .rolling import mix
 
 BUCKETS = 1 << 16
 LEVELS = 8
@@ -45,8 +46,6 @@ def _facts(batches, n):
 
 def set_ids(h: np.ndarray, so: np.ndarray) -> np.ndarray:
     """A 64-bit id of each row's set."""
-    from .rolling import mix
-
     p = np.append(np.uint64(0), np.cumsum(mix(h, 9)))
     q = np.append(np.uint64(0), np.cumsum(mix(h, 11)))
     return mix((p[so[1:]] - p[so[:-1]]) ^ mix(q[so[1:]] - q[so[:-1]], 5))
@@ -87,13 +86,27 @@ def _prefixes(batches, n, t_num, t_den, sketch):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["tok", "nid", "n", "lev", "ell"])
 
 
-def _sets(batches, n):
+def _overlaps(batches, n):
+    """For pairs of texts the sizes of their shingle sets and of the sets' intersection."""
     for b in batches:
-        nid = column(b, "nid").to_numpy()
-        for lo, h, so in S.sequences(b, "t", n):
-            h, so = S.distinct(h, so)
-            m = len(so) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(nid[lo : lo + m]), pa.ListArray.from_arrays(pa.array(so.astype(np.int32)), pa.array(h.view(np.int64)))], names=["nid", "toks"])
+        keys, rows, sizes = [], [], []
+        for name in ("x", "y"):
+            ks, rs, ns = [], [], []
+            for lo, h, so in S.sequences(b, name, n):
+                h, so = S.distinct(h, so)
+                size = np.diff(so)
+                row = np.repeat(np.arange(lo, lo + len(size)), size)
+                ks.append(mix(h + mix(row.astype(np.uint64))))
+                rs.append(row)
+                ns.append(size)
+            keys.append(np.concatenate(ks))
+            rows.append(np.concatenate(rs))
+            sizes.append(np.concatenate(ns))
+        other = np.sort(keys[1])
+        at = np.minimum(np.searchsorted(other, keys[0]), max(len(other) - 1, 0))
+        hit = other[at] == keys[0] if len(other) else np.zeros(len(keys[0]), bool)
+        both = np.bincount(rows[0][hit], minlength=b.num_rows)
+        yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b"), pa.array(both.astype(np.int64)), pa.array((sizes[0] + sizes[1]).astype(np.int64))], names=["a", "b", "i", "s"])
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
@@ -119,11 +132,9 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 
 def verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, n: int, t_num: int, t_den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have that Jaccard similarity."""
-    nodes = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
-    sets = texts.join(nodes, "nid", "left_semi").select("nid", "t").mapInArrow(lambda it: _sets(it, n), "nid long, toks array<long>")
-    one = pairs.join(sets.select(F.col("nid").alias("a"), F.col("toks").alias("x")), "a")
-    two = one.join(sets.select(F.col("nid").alias("b"), F.col("toks").alias("y")), "b")
-    both = two.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
+    one = pairs.join(texts.select(F.col("nid").alias("a"), F.col("t").alias("x")), "a")
+    two = one.join(texts.select(F.col("nid").alias("b"), F.col("t").alias("y")), "b").select("a", "b", "x", "y")
+    both = two.mapInArrow(lambda it: _overlaps(it, n), "a long, b long, i long, s long")
     return both.where(F.col("i") * t_den >= t_num * (F.col("s") - F.col("i"))).select("a", "b")
 
 
@@ -152,7 +163,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     texts = base.join(reps.join(post.select("nid").distinct(), "nid"), ["o", "th"]).select("nid", "t").dropDuplicates(["nid"])
     texts = ws.save(texts, "texts")
 
-    near = post.where("nid > x").groupBy(F.col("nid").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("c"))
+    near = post.where("nid > x").groupBy(F.col("nid").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("c"), F.first("ell").alias("ell")).where("c >= ell")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
     pairs = ws.save(near.withColumn("r", rank).where("r <= 2").select("a", "b"), "pairs")
     links = ws.save(verified(ws, pairs, texts, shingle, t_num, t_den), "verified")
