@@ -55,9 +55,10 @@ def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
         if state.where(~F.col("done")).isEmpty():
             break
         ends = state.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("dist").alias("d2"), F.col("done").alias("f2"))
-        hop = state.join(ends, state.tree.eqNullSafe(ends.t2) & (state.anc == ends.n2) & ~state.done, "left")
-        more = F.col("n2").isNotNull()
-        new = ws.save(hop.select("tree", "node", "score", "parent", F.when(more, F.col("a2")).otherwise(F.col("anc")).alias("anc"), F.when(more, F.col("dist") + F.col("d2")).otherwise(F.col("dist")).alias("dist"), F.when(more, F.col("f2")).otherwise(F.col("done")).alias("done")), "runs")
+        open_ = state.where(~F.col("done"))
+        hop = open_.join(ends, open_.tree.eqNullSafe(ends.t2) & (open_.anc == ends.n2))
+        hop = hop.select("tree", "node", "score", "parent", F.col("a2").alias("anc"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("f2").alias("done"))
+        new = ws.save(state.where("done").union(hop), "runs")
         ws.drop(state)
         state = new
     state = state.where("done")
