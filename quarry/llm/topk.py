@@ -48,34 +48,42 @@ class Lists:
         self.n, self.d = v.shape
         by = np.argsort(v, axis=0, kind="stable")
         self.sorted = np.take_along_axis(v, by, 0)
-        self.rank = np.empty(v.shape, np.int32)
-        np.put_along_axis(self.rank, by, np.arange(self.n, dtype=np.int32)[:, None], 0)
+        self.most = int(np.abs(v).max()) if v.size else 0
+        self.small = v.astype(np.int32) if self.most < 2**31 else v
 
     def search(self, own: int, q: np.ndarray, k: int, floor: float):
         """(vec_id, score) of the k best, ties to smaller ids; rows of the query's own id take no part."""
         d = min(self.d, len(q))
-        q = q[:d]
+        q = whole = q[:d]
         use = np.flatnonzero(q != 0)
         q = q[use]
         other = self.ids != own
         live = np.flatnonzero(other)
         if len(live) > 4 * k and len(use):
-            part = self.v[:, use] * q
+            # small enough numbers are added up in 32 bits
+            kind = np.int32 if self.most * int(np.abs(q).max()) * len(use) < 2**31 else np.int64
+            base = (self.small if kind == np.int32 else self.v)[:, : len(whole)] if len(use) == len(whole) else self.v.astype(kind)[:, use]
+            part = base * q.astype(kind)
+            if len(live) < self.n:
+                part = part[live]
             down = q > 0
-            depth_of = np.where(down, self.n - 1 - self.rank[:, use], self.rank[:, use])
             lists = self.sorted[:, use] * q
-            least = np.where(down, lists[0], lists[-1])
-            depth = max(4 * k, self.n // 8)
+            least = np.where(down, lists[0], lists[-1]).astype(kind)
+            depth = max(4 * k, self.n // 4)
             while depth < self.n:
-                frontier = np.where(down, lists[self.n - depth], lists[depth - 1])
-                seen = depth_of < depth
-                upper = np.where(seen, part, frontier).sum(1)
-                lower = np.where(seen, part, least).sum(1)
-                kth = max(np.partition(lower[other], -k)[-k], floor)
-                live = np.flatnonzero(other & (upper >= kth))
+                # read so far: contributions not under the frontier; unread ones are at most the frontier
+                frontier = np.where(down, lists[self.n - depth], lists[depth - 1]).astype(kind)
+                upper = np.maximum(part, frontier).sum(1, dtype=kind)
+                stay = upper >= floor
+                if not stay.all():
+                    live, part, upper = live[stay], part[stay], upper[stay]
+                if len(live) > k:
+                    lower = np.where(part >= frontier, part, least).sum(1, dtype=kind)
+                    stay = upper >= np.partition(lower, -k)[-k]
+                    live, part = live[stay], part[stay]
                 if len(live) <= 4 * k:
                     break
-                depth *= 2
+                depth += self.n // 4
         score = self.v[np.ix_(live, use)] @ q
         keep = score >= floor
         live, score = live[keep], score[keep]
