@@ -51,6 +51,7 @@ class Pieces:
                 self.lookup[b] = (sp.get_score(i), i)
         self.unknown = min(s for s, _ in self.lookup.values() if s > -1e8) - 10.0
         self.most = max(map(len, self.lookup))
+        self.lengths = sorted({len(k) for k in self.lookup} | {1}, reverse=True)
         keys = list(self.lookup)
         buf = np.frombuffer(b"".join(keys), np.uint8)
         e = np.cumsum([len(k) for k in keys])
@@ -154,13 +155,13 @@ class Pieces:
         lens = ends - starts
         order = np.argsort(-lens, kind="stable")
         best, cost = np.zeros(n), np.full(n, np.inf)
-        ids: list = [None] * n
+        count, long = np.zeros(n, np.int64), {}
         wide = int((lens > WIDE).sum())
         for u in order[:wide].tolist():
             seg = buf[starts[u] : ends[u]].tobytes()
             into = self.arcs(seg)
             f, got = self.viterbi(into)
-            ids[u] = np.array(got, np.int32)
+            long[u], count[u] = got, len(got)
             best[u] = f[-1]
             b = [-np.inf] * (len(f) - 1) + [0.0]
             second = -np.inf
@@ -191,7 +192,9 @@ class Pieces:
                 k = np.arange(c)
                 own = self.byte_ids[buf[e - 1]]
                 sc = np.full(c, self.unknown)
-                for l in range(min(j, self.most), 0, -1):
+                for l in self.lengths:
+                    if l > j:
+                        continue
                     got = self.find(R.mix(R.span(p, e - l, e) + np.uint64(l)))
                     if l == 1:
                         own = np.where(got >= 0, got, own)
@@ -228,13 +231,15 @@ class Pieces:
             total = f[length, np.arange(m)]
             best[order], cost[order] = total, total - second
             path, who = np.concatenate(path[::-1]), np.concatenate(who[::-1])
-            by = np.argsort(who, kind="stable")
-            split = np.searchsorted(who[by], np.arange(1, m))
-            for u, x in zip(order.tolist(), np.split(path[by], split), strict=True):
-                ids[u] = x
-        count = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if n else np.zeros(0, np.int32)
-        return flat, np.append(0, np.cumsum(count)), best, cost
+            own = np.bincount(who, minlength=m)
+            count[order] = own
+        offs = np.append(0, np.cumsum(count))
+        flat = np.zeros(offs[-1], np.int32)
+        for u, x in long.items():
+            flat[offs[u] : offs[u + 1]] = x
+        if m:
+            flat[R.ragged(offs[order], own)] = path[np.argsort(who, kind="stable")]
+        return flat, offs, best, cost
 
     def encode(self, buf, offs, n):
         """For each row: best ids, scores of the n best, and for the others their segments that differ."""
