@@ -273,7 +273,7 @@ def _bucket(tables, window):
     nwin = np.diff(offs) - window + 1
     w_off = np.append(0, np.cumsum(nwin))
     row = np.repeat(np.arange(len(h)), n_occ)
-    step = max(1, (4 << 20) // max(1, int(nwin.max())))
+    step = max(1, (1 << 20) // max(1, int(nwin.max())))
     for a in range(0, len(row), step):
         r, d = row[a : a + step], docs[a : a + step]
         n = nwin[r]
@@ -291,7 +291,7 @@ def _bucket(tables, window):
             yield pa.RecordBatch.from_arrays([pa.array(d[w]), pa.array(th[a : a + step][w]), pa.array(base + rel[b]), pa.array(base + rel[e] + window)], names=["o", "th", "s", "e"])
 
 
-def _sort_buckets(batches, window, limit=6 << 20):
+def _sort_buckets(batches, window, limit=3 << 20):
     """Rows come ordered by anchor; whole anchors are worked on in groups of about limit bytes."""
     held, size = [], 0
     for b in batches:
