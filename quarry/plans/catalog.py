@@ -271,8 +271,9 @@ orders_of = lambda q, o: q("orders").tables("orders").where(F.col("o_custkey") =
 add("lateral_topn", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN LATERAL (SELECT * FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) ON TRUE")(
     lambda q: q("customer").lateral("best", lambda o: orders_of(q, o).select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(2), ["o_orderkey", "o_totalprice"], "inner").select("c_custkey", "best.o_orderkey", "best.o_totalprice")
 )
+# A bare column equal to an outer one is substituted, which would leave the other condition a nested loop; + 0 keeps both for one join by key.
 add("lateral_agg", "SELECT c_custkey, n, hi FROM customer LEFT JOIN LATERAL (SELECT count(*) AS n, max(o_totalprice) AS hi FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 10) ON TRUE")(
-    lambda q: q("customer").lateral("t", lambda o: orders_of(q, o).where(F.col("o_totalprice") > o["c_acctbal"] * 10).select(F.count("*").alias("n"), F.max("o_totalprice").alias("hi")), ["n", "hi"]).select("c_custkey", "t.n", "t.hi")
+    lambda q: q("customer").lateral("t", lambda o: q("orders").tables("orders").where((F.col("o_custkey") + 0 == o["c_custkey"]) & (F.col("o_totalprice") > o["c_acctbal"] * 10)).select(F.count("*").alias("n"), F.max("o_totalprice").alias("hi")), ["n", "hi"]).select("c_custkey", "t.n", "t.hi")
 )
 add("lateral_series", "SELECT r_regionkey, n FROM region, LATERAL (SELECT unnest(range(1, r_regionkey + 2)) AS n)")(lambda q: q("region").unnest(F.sequence(F.lit(1), F.col("root__r_regionkey") + 1), "n").select("r_regionkey", "n.n").df().select("r_regionkey", F.col("n").cast("bigint").alias("n")))
 add("series", "SELECT unnest(range(3, 21, 3)) AS n")(lambda q: src.series(q("region").spark, 3, 20, 3))
