@@ -52,19 +52,22 @@ def set_ids(h: np.ndarray, so: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(batches, n, t_num, t_den, sketch):
+    """Tokens of prefixes. A hash's upper bits are replaced by their rank, rarer first: one sort gives the order of tokens."""
     base = max(1.0, float(sketch.mean()))
+    by_rank = np.argsort(sketch, kind="stable").astype(np.uint64)
+    rank = np.empty(BUCKETS, np.uint64)
+    rank[by_rank.astype(np.int64)] = np.arange(BUCKETS, dtype=np.uint64)
+    top, low = np.uint64(48), np.uint64((1 << 48) - 1)
+    counts = sketch[by_rank.astype(np.int64)]
     for b in batches:
         seen, out = set(), [[] for _ in range(5)]
         for _, h, so in S.sequences(b, "t", n):
-            h, so = S.distinct(h, so)
+            h, so = S.distinct((rank[(h >> top).astype(np.int64)] << top) | (h & low), so)
             size = np.diff(so)
-            ids = set_ids(h, so)
+            at = (h >> top).astype(np.int64)
+            ids = set_ids((by_rank[at] << top) | (h & low), so)
             keep = np.array([s > 0 and not (i in seen or seen.add(i)) for i, s in zip(ids.tolist(), size.tolist(), strict=True)], bool)
-            f = sketch[(h >> np.uint64(48)).astype(np.int64)]
-            row = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((h, f, row))
-            h = h[order]
-            cost = np.append(0.0, np.cumsum(np.maximum(f[order] - base, 1.0)))
+            cost = np.append(0.0, np.cumsum(np.maximum(counts[at] - base, 1.0)))
             need = -(-t_num * size // t_den)
             one = size - need + 1
             best, level = np.full(len(size), np.inf), np.ones(len(size), np.int64)
@@ -87,26 +90,36 @@ def _prefixes(batches, n, t_num, t_den, sketch):
 
 
 def _overlaps(batches, n):
-    """For pairs of texts the sizes of their shingle sets and of the sets' intersection."""
+    """For pairs of texts the sizes of their shingle sets and of the sets' intersection. A batch's texts are each read once."""
     for b in batches:
-        keys, rows, sizes = [], [], []
-        for name in ("x", "y"):
-            ks, rs, ns = [], [], []
-            for lo, h, so in S.sequences(b, name, n):
+        x, y = column(b, "a").to_numpy(), column(b, "b").to_numpy()
+        if not len(x):
+            continue
+        ids, first, code = np.unique(np.concatenate([y, x]), return_index=True, return_inverse=True)
+        sets, at = [], np.empty(len(ids), np.int64)
+        for name, mine in (("y", np.flatnonzero(first < len(y))), ("x", np.flatnonzero(first >= len(y)))):
+            if not len(mine):
+                continue
+            at[mine] = len(sets) + np.arange(len(mine))
+            rows = first[mine] - (len(y) if name == "x" else 0)
+            texts = pa.RecordBatch.from_arrays([column(b, name).take(pa.array(rows))], names=["t"])
+            for _, h, so in S.sequences(texts, "t", n):
                 h, so = S.distinct(h, so)
-                size = np.diff(so)
-                row = np.repeat(np.arange(lo, lo + len(size)), size)
-                ks.append(mix(h + mix(row.astype(np.uint64))))
-                rs.append(row)
-                ns.append(size)
-            keys.append(np.concatenate(ks))
-            rows.append(np.concatenate(rs))
-            sizes.append(np.concatenate(ns))
-        other = np.sort(keys[1])
-        at = np.minimum(np.searchsorted(other, keys[0]), max(len(other) - 1, 0))
-        hit = other[at] == keys[0] if len(other) else np.zeros(len(keys[0]), bool)
-        both = np.bincount(rows[0][hit], minlength=b.num_rows)
-        yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b"), pa.array(both.astype(np.int64)), pa.array((sizes[0] + sizes[1]).astype(np.int64))], names=["a", "b", "i", "s"])
+                sets += np.split(h, so[1:-1])
+        size = np.array([len(s) for s in sets])
+        kinds, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(tokens, np.cumsum(size)[:-1])
+        code = at[code]
+        cy, cx = code[: len(y)], code[len(y) :]
+        mark, both, last = np.zeros(len(kinds), bool), np.zeros(len(x), np.int64), -1
+        for i in np.argsort(cy, kind="stable").tolist():
+            if cy[i] != last:
+                if last >= 0:
+                    mark[sets[last]] = False
+                last = cy[i]
+                mark[sets[last]] = True
+            both[i] = np.count_nonzero(mark[sets[cx[i]]])
+        yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b"), pa.array(both), pa.array(size[cx] + size[cy])], names=["a", "b", "i", "s"])
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:

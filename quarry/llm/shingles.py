@@ -31,9 +31,12 @@ def sequences(batch, name, n=5):
 
 def distinct(h: np.ndarray, so: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of each row in ascending order, and their offsets."""
-    row = np.repeat(np.arange(len(so) - 1), np.diff(so))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    h = h.copy()
+    ends = so.tolist()
+    for lo, hi in zip(ends, ends[1:], strict=False):  # sorting row by row takes less time than one sort by row and hash
+        if hi - lo > 1:
+            h[lo:hi].sort()
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.searchsorted(row[new], np.arange(len(so)))
+    new[1:] = h[1:] != h[:-1]
+    new[so[:-1][np.diff(so) > 0]] = True
+    return h[new], np.append(0, np.cumsum(new))[so]
