@@ -275,6 +275,22 @@ def test_html(spark):
     assert html_extract.extract_main_text(df.limit(0)).collect() == []
 
 
+def texts(spark, rows, parts=3):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+
+
+def test_copies_of_a_page_are_not_the_template(spark):
+    # session ids in links and other adverts in skipped parts don't make a copy another page
+    same = [(i, f"http://c.example/print?{i}", page(7, "<h2>Head</h2><p>First of the story.</p><p>Second of it.</p>").replace("href=/", f"href=/?sid={i}")) for i in range(30)]
+    rest = [(100 + i, "http://c.example/x", page(i, f"<h2>Head {i}</h2><p>Body {i}</p><p>end of {i}</p>")) for i in range(8)]
+    alone = [(200 + i, f"http://d.example/{i}", "<body><p>Only story.</p><p>Its end.</p></body>") for i in range(9)]
+    got = texts(spark, same + rest + alone)
+    assert {got[i] for i in range(30)} == {"Head First of the story. Second of it."}
+    assert [got[100 + i] for i in range(8)] == [f"Head {i} Body {i} end of {i}" for i in range(8)]
+    assert {got[200 + i] for i in range(9)} == {"Only story. Its end."}
+
+
 def test_tree_matching_counts_the_most_nodes():
     a = html_extract.parse("<div><p>x</p><ul><li>1<li>2</ul><p>y</p></div>")
     b = html_extract.parse("<div><p>q</p><p>x</p><ul><li>1</ul><p>z</p></div>")
