@@ -291,6 +291,39 @@ def test_copies_of_a_page_are_not_the_template(spark):
     assert {got[200 + i] for i in range(9)} == {"Only story. Its end."}
 
 
+def test_template_holds_what_the_first_page_lacks(spark):
+    notice = "<div class='x'><p>All rights belong to the house.</p></div>"
+    wrap = lambda i, more: f"<body><div class='story'><p>Story {i} begins.</p><p>It ends with {i}.</p></div>{more}</body>"
+    odd = [(0, "http://o.example/", "<body><p>Short page.</p></body>"), (1, "http://o.example/", wrap(1, notice.replace("house", "author")))]
+    rows = odd + [(i, "http://o.example/", wrap(i, notice)) for i in range(2, 40)]
+    want = {i: f"Story {i} begins. It ends with {i}." for i in range(2, 40)} | {0: "Short page.", 1: "Story 1 begins. It ends with 1. All rights belong to the author."}
+    for parts in (1, 3):
+        assert texts(spark, rows, parts) == texts(spark, rows[::-1], parts) == want
+
+
+def test_a_line_of_a_few_articles_is_not_the_template(spark):
+    body = lambda i: "".join(f"<p>Line {j} of {i}.</p>" for j in range(2 + i % 5)) + "<p>A line of seven.</p>" * (i % 9 == 0)
+    got = texts(spark, [(i, "http://l.example/", f"<body><article>{body(i)}</article></body>") for i in range(60)])
+    assert [i for i in range(60) if got[i].endswith("A line of seven.")] == list(range(0, 60, 9))
+
+
+def test_fold_counts_several_texts_and_merges_without_loss():
+    t = lambda s: html_extract.parse(f"<body><p>{s}</p></body>")
+    halves = []
+    for first in ("odd", "other"):
+        halves.append(t(first))
+        for _ in range(9):
+            html_extract.fold(halves[-1], t("notice"))
+    html_extract.fold(*halves)
+    leaf = html_extract.leaves(halves[0])[0]
+    assert leaf.seen == 20 and leaf.texts[html_extract.hashed("notice")] == 18
+    texts = {}
+    for i in range(1000):
+        html_extract.count(texts, {i: 1})
+        html_extract.count(texts, {-1: 2})
+    assert len(texts) <= html_extract.TEXTS and texts[-1] >= 2000 - 3000 / (html_extract.TEXTS + 1)
+
+
 def test_tree_matching_counts_the_most_nodes():
     a = html_extract.parse("<div><p>x</p><ul><li>1<li>2</ul><p>y</p></div>")
     b = html_extract.parse("<div><p>q</p><p>x</p><ul><li>1</ul><p>z</p></div>")
