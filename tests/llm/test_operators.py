@@ -324,6 +324,17 @@ def test_fold_counts_several_texts_and_merges_without_loss():
     assert len(texts) <= html_extract.TEXTS and texts[-1] >= 2000 - 3000 / (html_extract.TEXTS + 1)
 
 
+def test_regions_keep_all_of_the_article():
+    get = lambda s: html_extract.extract(html_extract.parse(s), set())
+    long, short = "the first half of a story is here " * 6, "and its other half here."
+    assert get(f"<body><div><p>{long}</p></div><div><p>{short}</p></div><ul><li><a href=/>Home page</a></ul></body>") == f"{long}{short}"
+    assert get(f"<main><h1>Head</h1><p>{long}</p><article><p>teaser</p></article></main><article>card</article>") == f"Head {long}teaser"
+    assert get(f"<main><h1>Head</h1><article><p>{long}</p></article><p>{short}</p></main>") == f"Head {long}{short}"
+    assert get(f"<main><p>Head</p></main><article><p>{long}</p></article>") == f"Head {long.strip()}"
+    assert get(f"<div><p>{long}</p></div><article>card</article>") == f"{long}card"
+    assert get(f"<p>out</p><article><p>{long}</p><p><a>its source</a></p></article>") == f"{long}its source"
+
+
 def test_tree_matching_counts_the_most_nodes():
     a = html_extract.parse("<div><p>x</p><ul><li>1<li>2</ul><p>y</p></div>")
     b = html_extract.parse("<div><p>q</p><p>x</p><ul><li>1</ul><p>z</p></div>")
