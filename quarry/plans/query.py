@@ -7,11 +7,12 @@ windows, nesting, projection, order, offset and limit. Only joins that some clau
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import MultipleResults, NoResults, ValidationError
+from ..errors import MultipleResults, NoResults, QueryError, ValidationError
 from ..operators import joins, related, tagging
 from ..operators.windows import DIRECTIONS, window
 from ..sources.tables import IDENTIFIER, Tables, values
@@ -127,7 +128,7 @@ class Query:
                 out = out.with_cte(n, todo.pop(n)[0])
         return out
 
-    def with_recursive_cte(self, name: str, base, step, max_depth: int = 100, columns: list[str] | None = None) -> Query:
+    def with_recursive_cte(self, name: str, base, step, max_depth: int | None = None, columns: list[str] | None = None) -> Query:
         return self.with_cte(name, recursive(base(dict(self.frames)) if callable(base) and not isinstance(base, DataFrame) else base, step, max_depth), columns)
 
     def with_values(self, rows, columns=None, as_: str = "v", schema=None) -> Query:
@@ -410,17 +411,37 @@ def kind_of(t: str) -> str:
     return "time" if t in ("date", "timestamp", "timestamp_ntz") else "string" if t.startswith(("string", "char", "varchar")) else t
 
 
-def recursive(base: DataFrame, step, max_depth: int = 100) -> DataFrame:
-    """base, step(base), step(step(base)), ... until a step is empty. Each level is checkpointed, which cuts the lineage."""
+#: Levels of a recursion that are united before they are written as one.
+LEVELS = 64
+
+
+def recursive(base: DataFrame, step, max_depth: int | None = None) -> DataFrame:
+    """base, step(base), step(step(base)), ... until a step is empty. Each level is checkpointed, which cuts the lineage.
+
+    There is no limit by default. If max_depth steps leave rows for another one, that is an error.
+    """
     from .workspace import checkpoint
 
-    out = level = checkpoint(base)
-    for _ in range(max_depth):
+    tiers: list[list[DataFrame]] = []
+
+    def keep(rows, tier=0):
+        if tier == len(tiers):
+            tiers.append([])
+        tiers[tier].append(rows)
+        if len(tiers[tier]) == LEVELS:
+            full, tiers[tier] = tiers[tier], []
+            keep(checkpoint(reduce(DataFrame.union, full)), tier + 1)
+
+    level, depth = checkpoint(base), 0
+    while True:
+        keep(level)
         level = checkpoint(step(level).toDF(*base.columns))
         if level.isEmpty():
             break
-        out = out.union(level)
-    return out
+        if depth == max_depth:
+            raise QueryError(f"the recursion has rows after {max_depth} steps")
+        depth += 1
+    return reduce(DataFrame.union, [rows for tier in reversed(tiers) for rows in tier])
 
 
 def configure(spark: SparkSession, domain: Domain | dict, tables=None, validate: bool = True) -> Query:

@@ -6,12 +6,12 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quarry.errors import ConfigurationError, FieldResolutionError, MultipleResults, NoResults, ValidationError
+from quarry.errors import ConfigurationError, FieldResolutionError, MultipleResults, NoResults, QueryError, ValidationError
 from quarry.functions import jsonops
 from quarry.functions.dates import date_range
 from quarry.operators.hierarchy import adjacency
 from quarry.plans.domain import Domain
-from quarry.plans.query import configure
+from quarry.plans.query import configure, recursive
 from quarry.sources import sinks
 from quarry.sources.tables import options, series, values
 from quarry.streaming.windows import windowed
@@ -111,6 +111,15 @@ def test_circles_end(spark):
     assert adjacency(t, "id", "up", 9).count() == 3
 
 
+def test_recursion_goes_to_the_end(spark):
+    start = spark.createDataFrame([(1,)], "n int")
+    to = lambda last: lambda d: d.where(F.col("n") < last).selectExpr("n + 1")
+    assert sorted(r.n for r in recursive(start, to(140)).collect()) == list(range(1, 141))
+    assert recursive(start, to(5), 4).count() == 5
+    with pytest.raises(QueryError):
+        recursive(start, to(6), 4)
+
+
 def test_values_options_series(spark, shop):
     v = values(spark, [{"b": 1, "a": None}, {"b": 2.5}])
     assert v.columns == ["a", "b"] and [tuple(r) for r in v.collect()] == [(None, 1.0), (None, 2.5)]
