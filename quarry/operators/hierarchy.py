@@ -10,23 +10,33 @@ from pyspark.sql import functions as F
 from ..functions.arrays import from_string
 
 
-def adjacency(nodes: DataFrame, key: str, parent: str, depth_limit: int = 5) -> DataFrame:
+def adjacency(nodes: DataFrame, key: str, parent: str, depth_limit: int | None = 5) -> DataFrame:
     """nodes that a root (null parent) reaches, with level (from 0), path (keys joined by /) and path_array.
 
     One join a level, at most depth_limit, so circles end. The levels are disjoint: a tree of any size is
-    spread over the cluster.
+    spread over the cluster. None as depth_limit takes all levels: each is written before the next, and a
+    node that is its own ancestor ends its circle.
     """
     level = nodes.where(F.col(parent).isNull()).withColumns({"level": F.lit(0), "path": F.col(key).cast("string"), "path_array": F.array(F.col(key))})
+    if depth_limit is None:
+        from ..plans.query import recursive
+
+        return recursive(level, lambda last: below(nodes, key, parent, last).where(~F.array_contains(F.slice("path_array", 1, F.col("level")), F.col(key))))
     out = [level]
     for _ in range(depth_limit):
-        up = level.select(F.col(key).alias("_up"), F.col("level").alias("_level"), F.col("path").alias("_path"), F.col("path_array").alias("_array"))
-        level = nodes.join(up, F.col(parent) == F.col("_up")).select(
-            *nodes.columns, (F.col("_level") + 1).alias("level"), F.concat_ws("/", "_path", F.col(key).cast("string")).alias("path"), F.concat("_array", F.array(F.col(key))).alias("path_array")
-        )
+        level = below(nodes, key, parent, level)
         out.append(level)
     return reduce(DataFrame.unionByName, out)
 
 
+def below(nodes: DataFrame, key: str, parent: str, level: DataFrame) -> DataFrame:
+    """The children of a level's nodes."""
+    up = level.select(F.col(key).alias("_up"), F.col("level").alias("_level"), F.col("path").alias("_path"), F.col("path_array").alias("_array"))
+    return nodes.join(up, F.col(parent) == F.col("_up")).select(
+        *nodes.columns, (F.col("_level") + 1).alias("level"), F.concat_ws("/", "_path", F.col(key).cast("string")).alias("path"), F.concat("_array", F.array(F.col(key))).alias("path_array")
+    )
+
+
 def materialized_path(nodes: DataFrame, path: str, separator: str = "/", root: str | None = None) -> DataFrame:
     out = nodes.withColumns({"depth": (F.length(path) - F.length(F.replace(F.col(path), F.lit(separator)))) / len(separator), "path_array": from_string(F.col(path), separator)})
     out = out.withColumn("depth", F.col("depth").cast("int"))

@@ -187,6 +187,25 @@ add("hier_closure", f"WITH RECURSIVE t AS ({TREE}), h AS (SELECT id, [id] AS up,
     lambda q: closure(tree(q), "id", links(q), "a", "d", "depth").select("id", "depth", F.col("descendant_count").alias("descendants"))
 )
 
+# The same over all customers, to the deepest level.
+WHOLE_TREE = "SELECT c_custkey AS id, CASE WHEN c_custkey = 0 THEN NULL ELSE c_custkey // 3 END AS parent FROM customer"
+
+
+def whole_tree(q):
+    return q("customer").tables("customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") != 0, F.floor(F.col("c_custkey") / 3)).alias("parent"))
+
+
+add("hier_adjacency_whole", f"WITH RECURSIVE t AS ({WHOLE_TREE}), h AS (SELECT id, 0 AS level, id::VARCHAR AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, h.level + 1, h.path || '/' || t.id FROM t JOIN h ON t.parent = h.id) SELECT * FROM h")(lambda q: adjacency(whole_tree(q), "id", "parent", None).select("id", "level", "path"))
+
+
+def whole_links(q):
+    return adjacency(whole_tree(q), "id", "parent", None).select(F.col("id").alias("d"), F.posexplode(F.reverse("path_array")).alias("depth", "a"))
+
+
+add("hier_closure_whole", f"WITH RECURSIVE t AS ({WHOLE_TREE}), h AS (SELECT id, [id] AS up, 0 AS level FROM t WHERE parent IS NULL UNION ALL SELECT t.id, list_prepend(t.id, h.up), h.level + 1 FROM t JOIN h ON t.parent = h.id), c AS (SELECT id AS d, unnest(up) AS a, unnest(range(len(up))) AS depth FROM h), n AS (SELECT a, count(*) AS k FROM c GROUP BY a) SELECT d AS id, depth::INT AS depth, k AS descendants FROM c LEFT JOIN n ON n.a = c.d")(
+    lambda q: closure(whole_tree(q), "id", whole_links(q), "a", "d", "depth").select("id", "depth", F.col("descendant_count").alias("descendants"))
+)
+
 # ---------------------------------------------------------------- aggregation
 
 add("agg_global", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS s, round(avg(o_totalprice), 4) AS a, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders")(
@@ -252,6 +271,9 @@ add("setop_chain", f"SELECT * FROM (SELECT * FROM ({A} UNION {B}) INTERSECT SELE
 add("setop_mapping", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey < 9 UNION SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 9")(
     lambda q: q("customer").select(("field", "c_custkey", "id"), ("field", "c_name", "name")).filter(("c_custkey", ("<", 9))).union(q("supplier").select("s_name", "s_suppkey").filter(("s_suppkey", ("<", 9))), mapping={"id": "s_suppkey", "name": "s_name"})
 )
+add("setop_mapping_whole", "SELECT c_custkey AS id, c_name AS name FROM customer UNION SELECT s_suppkey, s_name FROM supplier")(
+    lambda q: q("customer").select(("field", "c_custkey", "id"), ("field", "c_name", "name")).union(q("supplier").select("s_name", "s_suppkey"), mapping={"id": "s_suppkey", "name": "s_name"})
+)
 
 # ---------------------------------------------------------------- named frames, recursion, laterals
 

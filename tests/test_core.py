@@ -111,6 +111,26 @@ def test_circles_end(spark):
     assert adjacency(t, "id", "up", 9).count() == 3
 
 
+def test_whole_hierarchies_reach_every_node(spark):
+    from quarry.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    up = {r.c_custkey: r.c_custkey // 3 for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    want = {}
+    for k in up:
+        path = [k]
+        while path[-1]:
+            path.append(up[path[-1]])
+        want[k] = path[::-1]
+    got = QUERIES["hier_adjacency_whole"](spark, sf).collect()
+    assert len(got) == n and {r.id: (r.level, r.path) for r in got} == {k: (len(p) - 1, "/".join(map(str, p))) for k, p in want.items()}
+    assert QUERIES["hier_closure_whole"](spark, sf).count() == sum(map(len, want.values()))
+    assert QUERIES["setop_mapping_whole"](spark, sf).count() == n + spark.read.parquet(f"{sf}/supplier.parquet").count()
+    t = spark.createDataFrame([(1, None), (2, 1), (1, 2)], "id long, up long")
+    assert sorted((r.id, r.level) for r in adjacency(t, "id", "up", None).collect()) == [(1, 0), (2, 1)]
+
+
 def test_recursion_goes_to_the_end(spark):
     start = spark.createDataFrame([(1,)], "n int")
     to = lambda last: lambda d: d.where(F.col("n") < last).selectExpr("n + 1")
