@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_range
@@ -13,6 +13,7 @@ from ..sources.tables import Tables
 from ..streaming.windows import windowed
 from .domain import Domain
 from .query import Query, configure
+from .workspace import checkpoint
 
 QUERIES = {}
 SQL = {}
@@ -40,6 +41,14 @@ def add(name: str, sql: str | None = None):
     return keep
 
 
+def numbered(df):
+    """An ordered df with n, the place of each row from 1. Each task numbers a range of the order; none holds all rows."""
+    rows = checkpoint(df).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    before = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(before, part == F.col("_part")).select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n"))
+
+
 def r2(sel):
     return ("round", sel, 2)
 
@@ -258,6 +267,13 @@ add("win_over_agg", "SELECT o_orderpriority, count(*) AS n, lag(count(*)) OVER (
 
 add("order_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY s DESC NULLS LAST, o_orderkey LIMIT 50")(lambda q: q("orders").select("o_orderkey", ("field", ("nullif", "o_orderstatus", ("literal", "F")), "s")).order_by(("desc_nulls_last", "s"), "o_orderkey").limit(50))
 add("order_bare_nulls_first", "SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'F') NULLS FIRST, o_totalprice DESC, o_orderkey LIMIT 50")(lambda q: q("orders").select("o_orderkey").order_by(("nullif", "o_orderstatus", ("literal", "F")), ("desc", "o_totalprice"), ("asc", "o_orderkey")).limit(50))
+# The same orders over all rows, with each row's place.
+add("order_nulls_whole", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey) AS n FROM orders")(
+    lambda q: numbered(q("orders").select("o_orderkey", ("field", ("nullif", "o_orderstatus", ("literal", "F")), "s")).order_by(("desc_nulls_last", "s"), "o_orderkey").df())
+)
+add("order_bare_nulls_first_whole", "SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') NULLS FIRST, o_totalprice DESC, o_orderkey) AS n FROM orders")(
+    lambda q: numbered(q("orders").select("o_orderkey").order_by(("nullif", "o_orderstatus", ("literal", "F")), ("desc", "o_totalprice"), ("asc", "o_orderkey")).df())
+)
 add("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")(lambda q: q("orders").select("o_orderkey", "o_totalprice").order_by(("o_totalprice", "desc"), "o_orderkey").limit(10))
 add("paginate", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40")(lambda q: q("customer").select("c_custkey").order_by("c_custkey").page(3, 20))
 add("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")(lambda q: q("orders").select("o_orderstatus", "o_orderpriority").distinct())
@@ -314,6 +330,7 @@ add("json_extract", "SELECT event_id, json_extract_string(props, '$.k') AS k, js
 )
 add("json_filter", "SELECT event_id FROM events WHERE (props->>'k')::INT > 50 AND json_exists(props, '$.k')")(lambda q: q("events").select("event_id").filter((F.get_json_object("root__props", "$.k").cast("int") > 50), ("props", ("json_exists", "k"))))
 add("json_order", "SELECT event_id FROM events ORDER BY props->>'k' DESC, event_id LIMIT 40")(lambda q: q("events").select("event_id").order_by(("desc", ("json_extract_text", "props", "k")), "event_id").limit(40))
+add("json_order_whole", "SELECT event_id, row_number() OVER (ORDER BY props->>'k' DESC, event_id) AS n FROM events")(lambda q: numbered(q("events").select("event_id").order_by(("desc", ("json_extract_text", "props", "k")), "event_id").df()))
 add("json_build", """SELECT r_regionkey, '{"id":' || r_regionkey || ',"name":"' || r_name || '"}' AS o, '[' || r_regionkey || ',"' || r_name || '",null]' AS a FROM region""")(
     lambda q: q("region").select("r_regionkey", ("field", ("json_build_object", ("literal", "id"), "r_regionkey", ("literal", "name"), "r_name"), "o"), ("field", ("json_build_array", "r_regionkey", "r_name", F.lit(None).cast("string")), "a"))
 )

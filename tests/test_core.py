@@ -140,6 +140,21 @@ def test_recursion_goes_to_the_end(spark):
         recursive(start, to(6), 4)
 
 
+def test_whole_orders_number_all_rows(spark):
+    from quarry.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/orders.parquet").collect()
+    s = lambda r: None if r.o_orderstatus == "F" else r.o_orderstatus
+    got = {r.n: (r.o_orderkey, r.s) for r in QUERIES["order_nulls_whole"](spark, sf).collect()}
+    want = sorted(rows, key=lambda r: (s(r) is None, -ord(s(r) or "A"), r.o_orderkey))
+    assert got == {i: (r.o_orderkey, s(r)) for i, r in enumerate(want, 1)} and any(v is None for _, v in got.values())
+    got = {r.n: r.o_orderkey for r in QUERIES["order_bare_nulls_first_whole"](spark, sf).collect()}
+    assert got == {i: r.o_orderkey for i, r in enumerate(sorted(rows, key=lambda r: (s(r) is not None, s(r) or "", -r.o_totalprice, r.o_orderkey)), 1)}
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert sorted(r.n for r in QUERIES["json_order_whole"](spark, sf).collect()) == list(range(1, n + 1))
+
+
 def test_values_options_series(spark, shop):
     v = values(spark, [{"b": 1, "a": None}, {"b": 2.5}])
     assert v.columns == ["a", "b"] and [tuple(r) for r in v.collect()] == [(None, 1.0), (None, 2.5)]
