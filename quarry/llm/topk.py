@@ -4,7 +4,8 @@ In a block of vectors each dimension is a list sorted by value. A query reads al
 from the end where its contribution is largest. What has been read of a vector, the lists' frontiers and
 their least values bound its score from above and below. Reading stops when the vectors that may still be
 among the k best (upper bound not under the k-th lower bound, nor under a bound known from a sample) are
-few; their scores are then resolved in full.
+few; their scores are then resolved in full. The lists lie in memory, and reading them is emulated: all of
+a block's contributions are computed, and the lists give the frontiers that drop vectors from the sums.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 2.0**31
+LIMIT = 2.0**52
 SAMPLE = 2048
 
 
@@ -24,11 +25,20 @@ def usable(c):
 
 
 def scaled(c):
-    """floor(1024 x) of each component; beyond +-2^31 it stays there."""
+    """floor(1024 x) of each component; beyond +-2^52 it stays there, as an ordinary score would leave 64 bits."""
     big = lambda x: F.floor(F.greatest(F.least(x.cast("double") * 1024, F.lit(LIMIT)), F.lit(-LIMIT)))
     return F.transform(c, lambda x: big(x).cast("long"))
 
 
+def largest(x: np.ndarray) -> int:
+    return max(int(x.max()), -int(x.min())) if x.size else 0
+
+
+def products(v: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+    """Exact inner products, where no component of v is beyond most; of Python integers if 64 bits may not do."""
+    return v.astype(object) @ q.astype(object) if most * largest(q) * len(q) >= 2**63 else v @ q
+
+
 def matrix(column, d: int) -> np.ndarray:
     """Rows of numbers as one matrix of d columns; shorter rows end in zeros, longer ones lose nothing."""
     offs = np.asarray(column.offsets).astype(np.int64)
@@ -48,7 +58,7 @@ class Lists:
         self.n, self.d = v.shape
         by = np.argsort(v, axis=0, kind="stable")
         self.sorted = np.take_along_axis(v, by, 0)
-        self.most = int(np.abs(v).max()) if v.size else 0
+        self.most = largest(v)
         self.small = v.astype(np.int32) if self.most < 2**31 else v
 
     def search(self, own: int, q: np.ndarray, k: int, floor: float):
@@ -59,7 +69,7 @@ class Lists:
         q = q[use]
         other = self.ids != own
         live = np.flatnonzero(other)
-        if len(live) > 4 * k and len(use):
+        if len(live) > 4 * k and len(use) and self.most * largest(q) * len(q) < 2**63:
             # small enough numbers are added up in 32 bits
             kind = np.int32 if self.most * int(np.abs(q).max()) * len(use) < 2**31 else np.int64
             base = (self.small if kind == np.int32 else self.v)[:, : len(whole)] if len(use) == len(whole) else self.v.astype(kind)[:, use]
@@ -84,11 +94,14 @@ class Lists:
                 if len(live) <= 4 * k:
                     break
                 depth += self.n // 4
-        score = self.v[np.ix_(live, use)] @ q
+        score = products(self.v[np.ix_(live, use)], q, self.most)
         keep = score >= floor
         live, score = live[keep], score[keep]
-        best = np.lexsort((self.ids[live], -score))[:k]
-        return self.ids[live[best]], score[best]
+        if score.dtype == object:
+            best = sorted(range(len(score)), key=lambda i: (-score[i], self.ids[live[i]]))[:k]
+        else:
+            best = np.lexsort((self.ids[live], -score))[:k]
+        return self.ids[live[best]], score[best].astype(np.int64)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
@@ -98,7 +111,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 409
     the executors is bounded. A first look at a bounded sample of vectors gives each query a score that k
     vectors reach; no block returns less. Rows with a query's own vec_id aren't its candidates; a repeated
     vector row is a candidate each time, a repeated query one query. Vectors of unequal length are compared
-    as if ended by zeros. Rows with null ids take no part. No candidates, no rows.
+    as if ended by zeros. A score that is one of the best and leaves 64 bits is an error. Rows with null ids take no part. No candidates, no rows.
     """
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
@@ -124,11 +137,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 409
         for i, r in enumerate(part):
             q[i, : len(r[1])] = r[1]
         s = matrix(some["vec"].combine_chunks(), d)[:, :d] if len(s_ids) else np.zeros((0, d), np.int64)
+        s_most = largest(s)
         floors = np.full(len(part), -np.inf)
         for i in range(len(part)):
-            sc = (s @ q[i])[s_ids != q_ids[i]]
+            sc = products(s, q[i], s_most)[s_ids != q_ids[i]]
             if len(sc) >= k:
-                floors[i] = np.partition(sc, -k)[-k]
+                least = (np.sort(sc) if sc.dtype == object else np.partition(sc, -k))[-k]
+                floors[i] = float(least)
+                if floors[i] > int(least):
+                    floors[i] = np.nextafter(floors[i], -np.inf)
 
         def run(batches, q_ids=q_ids, q=q, floors=floors):
             for b in batches:

@@ -255,6 +255,19 @@ def test_top_k(spark):
     assert topk.search(use.limit(0), use.limit(0), 10).collect() == []
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    # beyond 2^31 a component counts in full, and sums beyond 64 bits decide without wrapping
+    rows = [(i, [2.5e6 + 1e3 * i, -1.0]) for i in range(60)] + [(100 + i, [-3e9, -3e9 - 1e6 * i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    use = df.select("vec_id", topk.scaled(df.embedding).alias("vec"))
+    got = [(r.rank, r.vec_id, r.score) for r in topk.search(use, use.where("vec_id = 59"), 5).collect()]
+    v = {i: [int(1024 * x) for x in e] for i, e in rows}
+    want = sorted((-sum(a * b for a, b in zip(v[59], v[i], strict=True)), i) for i in v if i != 59)[:5]
+    assert sorted(got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+    q = np.array([2**40, 2**40])
+    assert topk.Lists(np.arange(40), np.array([[-(2**40), -i] for i in range(39)] + [[7, 3]])).search(-1, q, 1, -np.inf)[0].tolist() == [39]
+
+
 # ---------------------------------------------------------------- pages
 
 
