@@ -3,14 +3,15 @@
 A word goes if a window of ``window`` words that covers it also starts in a document with a smaller id.
 
 1. Confirm. Anchors (the word k-gram with the smallest hash in a window) that one document alone has
-   go first. The windows around the others are hashed (96 bits) and combined by hash and block of
+   go first. The windows around the others are hashed (96 bits, made of 64) and combined by hash and block of
    documents; windows of several documents are confirmed, with the smallest id that holds each.
 2. Compile. Documents are dealt into blocks of about ``block_bytes``. Each block gets the confirmed
    windows found in it, joins them to passages, and compiles the passages' seeds (phrases so placed that
    each window holds one) into Aho-Corasick automata of at most ``shard_patterns`` patterns, a word
    being one symbol. A phrase that all documents hold costs one row a block.
-3. Locate. All documents of the block stream through its automata. The windows about an occurrence are
-   compared word by word with the passage; those whose first document is smaller go.
+3. Locate. A lookup of the hashes of the block's windows finds the confirmed ones. All documents of the
+   block stream through its automata, which pre-filter them: a confirmed window holds a seed. The windows
+   left are compared word by word with the passage; those whose first document is smaller go.
 """
 
 from __future__ import annotations
