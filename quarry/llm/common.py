@@ -121,8 +121,20 @@ def row_groups(offs, limit: int):
         lo = hi
 
 
-def append(df: DataFrame, fn, fields) -> DataFrame:
-    """df with the columns that fn(record batch) returns as a list of Arrow arrays."""
+def sizes(array: pa.Array):
+    """Offsets of a column of strings (by bytes) or lists (by elements), for row_groups."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = pc.binary_length(array) if pa.types.is_string(array.type) or pa.types.is_large_string(array.type) else pc.list_value_length(array)
+    return np.append(0, np.cumsum(n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+
+def append(df: DataFrame, fn, fields, by: str | None = None, limit: int = 0) -> DataFrame:
+    """df with the columns that fn(record batch) returns as a list of Arrow arrays.
+
+    With ``by``, batches are cut into groups of rows of about ``limit`` bytes (or elements) of that column.
+    """
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, *fields])
@@ -130,8 +142,11 @@ def append(df: DataFrame, fn, fields) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, *fn(b)], names=names)
+            cuts = [(0, b.num_rows)] if by is None else row_groups(sizes(column(b, by)), limit)
+            for lo, hi in cuts:
+                part = b.slice(lo, hi - lo)
+                if part.num_rows:
+                    yield pa.RecordBatch.from_arrays([*part.columns, *fn(part)], names=names)
 
     return df.mapInArrow(run, schema)
 

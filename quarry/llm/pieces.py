@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import rolling as R
 from .common import append, column, fresh, row_groups, text_buffer, text_of
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 WIDE = 64
 SLOTS = 1 << 20
 
@@ -67,6 +67,9 @@ class Pieces:
             else:
                 rest[hv] = self.lookup[k][1]
         self.rest = np.array(sorted(rest), np.uint64), np.array([rest[x] for x in sorted(rest)], np.int32)
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.size = np.array([len(x) for x in self.bytes], np.int64)
+        self.start = np.cumsum(self.size) - self.size
         self.scores = np.full(n, self.unknown)
         for s_, i in self.lookup.values():
             self.scores[i] = s_
@@ -181,54 +184,67 @@ class Pieces:
             s, length = starts[order], lens[order]
             p = R.byte_prefix(buf)
             top = int(length[0])
-            f = np.full((top + 1, m), -np.inf)
-            f[0] = 0.0
-            back = np.zeros((top + 1, m), np.int32)
-            size = np.zeros((top + 1, m), np.int8)
+            # place j of the k-th longest segment is at base[j] + k: only places that segments have take room
+            c = np.searchsorted(-length, -np.arange(top + 2), "right")
+            base = np.append(0, np.cumsum(c))
+            f = np.full(base[-1], -np.inf)
+            f[:m] = 0.0
+            back = np.zeros(len(f), np.int32)
+            size = np.zeros(len(f), np.int8)
+            inv = R.inverse(len(p))
+            heads = [p[s]]
+            downs = [inv[s]]
             arcs = []
             for j in range(1, top + 1):
-                c = int(np.searchsorted(-length, -j, "right"))
-                e = s[:c] + j
-                k = np.arange(c)
-                own = self.byte_ids[buf[e - 1]]
-                sc = np.full(c, self.unknown)
+                n_j = int(c[j])
+                heads.append(p[s[:n_j] + j])
+                downs.append(inv[s[:n_j] + j])
+                own = self.byte_ids[buf[s[:n_j] + j - 1]]
+                fj, bj, sj = (x[base[j] : base[j] + n_j] for x in (f, back, size))
                 for l in self.lengths:
                     if l > j:
                         continue
-                    got = self.find(R.mix(R.span(p, e - l, e) + np.uint64(l)))
+                    i = j - l
+                    got = self.find(R.mix((heads[j] - heads[i][:n_j]) * downs[i][:n_j] + np.uint64(l)))
+                    fi = f[base[i] : base[i] + n_j]
                     if l == 1:
                         own = np.where(got >= 0, got, own)
-                        sc = self.scores[own]
-                        at, pid, w = k, own, sc
+                        at, pid, w = None, own, self.scores[own]
+                        v = fi + w
+                        a = np.flatnonzero(v > fj)
+                        fj[a], bj[a], sj[a] = v[a], pid[a], l
                     else:
                         at = np.flatnonzero(got >= 0)
+                        if not len(at):
+                            continue
                         pid = got[at]
                         w = self.scores[pid]
-                    if len(at):
-                        arcs.append((j - l, j, at, w))
-                        v = f[j - l, at] + w
-                        up = v > f[j, at]
+                        v = fi[at] + w
+                        up = v > fj[at]
                         a = at[up]
-                        f[j, a], back[j, a], size[j, a] = v[up], pid[up], l
-            b = np.full((top + 1, m), -np.inf)
-            b[length, np.arange(m)] = 0.0
-            on = np.zeros((top + 1, m), bool)
+                        fj[a], bj[a], sj[a] = v[up], pid[up], l
+                    arcs.append((i, j, at, w))
+            b = np.full(len(f), -np.inf)
+            b[base[length] + np.arange(m)] = 0.0
+            on = np.zeros(len(f), bool)
             j = length.copy()
             path, who = [], []
             live = np.arange(m)
             while len(live):
-                on[j[live], live] = True
-                path.append(back[j[live], live])
+                x = base[j[live]] + live
+                on[x] = True
+                path.append(back[x])
                 who.append(live)
-                j[live] -= size[j[live], live]
+                j[live] -= size[x]
                 live = live[j[live] > 0]
             second = np.full(m, -np.inf)
             for i, j, at, w in sorted(arcs, key=lambda x: -x[0]):
-                v = w + b[j, at]
-                b[i, at] = np.maximum(b[i, at], v)
-                off = ~(on[j, at] & (size[j, at] == j - i))
-                second[at[off]] = np.maximum(second[at[off]], f[i, at[off]] + v[off])
-            total = f[length, np.arange(m)]
+                at = np.arange(c[j]) if at is None else at
+                v = w + b[base[j] + at]
+                b[base[i] + at] = np.maximum(b[base[i] + at], v)
+                off = ~(on[base[j] + at] & (size[base[j] + at] == j - i))
+                second[at[off]] = np.maximum(second[at[off]], f[base[i] + at[off]] + v[off])
+            total = f[base[length] + np.arange(m)]
             best[order], cost[order] = total, total - second
             path, who = np.concatenate(path[::-1]), np.concatenate(who[::-1])
             own = np.bincount(who, minlength=m)
@@ -270,6 +286,20 @@ class Pieces:
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes[i] for i in ids])[1:]
 
+    def decode_rows(self, ids: np.ndarray, offs: np.ndarray) -> pa.Array:
+        """The texts of rows of ids that lie end to end."""
+        at = np.append(0, np.cumsum(self.size[ids]))[offs]
+        raw = self.flat[R.ragged(self.start[ids], self.size[ids])]
+        stay = np.ones(len(raw), bool)
+        stay[at[:-1][np.diff(at) > 0]] = False  # the space put before a text
+        ends = np.append(0, np.cumsum(np.diff(at) - (np.diff(at) > 0))).astype(np.int32)
+        out = pa.Array.from_buffers(pa.string(), len(offs) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[stay].tobytes())])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # ids that no text has may give other bytes
+            out = pa.array([self.decode(ids[a:z]).decode("utf-8", "replace") for a, z in zip(offs[:-1], offs[1:], strict=True)], pa.string())
+        return out
+
 
 @functools.lru_cache(maxsize=2)
 def pieces(model: bytes) -> Pieces:
@@ -291,6 +321,9 @@ def encode(docs: DataFrame, model: bytes, n_best: int = 4) -> DataFrame:
 
     ``others[i]`` turns the best into the (i + 2)th: at each ``at`` take ``ids`` in place of ``len`` ids.
     Map only; the model file (under 1 MB) goes with the code. Null and empty texts have no ids and score 0.
+    Of equal scores any order may come. Repeated rows are encoded each. Rows leave in groups of about CHUNK
+    bytes of text, so that memory is bounded by that or by the longest text, whose lattice is made whole by
+    segments. Extra columns pass through; new ones give way to existing names.
     """
     t, ids, scores, others = fresh(docs, "t", "ids", "scores", "others")
     edit = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("len", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -300,25 +333,24 @@ def encode(docs: DataFrame, model: bytes, n_best: int = 4) -> DataFrame:
         m = pieces(model)
         buf, offs = text_buffer(column(b, t))
         a, s, o = [], [], []
-        for lo, hi in row_groups(offs, CHUNK):
-            for x, y, z in m.encode(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n_best):
-                a.append(x)
-                s.append(y)
-                o.append([[{"at": p, "len": q, "ids": v} for p, q, v in e] for e in z])
-        flat = np.concatenate(a) if a else np.zeros(0, np.int32)
+        for x, y, z in m.encode(buf, offs, n_best):
+            a.append(x)
+            s.append(y)
+            o.append([[{"at": p, "len": q, "ids": v} for p, q, v in e] for e in z])
         io = np.append(0, np.cumsum([len(x) for x in a])).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(io), pa.array(flat, pa.int32())), pa.array(s, pa.list_(pa.float64())), pa.array(o, kind)]
+        return [pa.ListArray.from_arrays(pa.array(io), pa.array(np.concatenate(a), pa.int32())), pa.array(s, pa.list_(pa.float64())), pa.array(o, kind)]
 
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(scores, T.ArrayType(T.DoubleType())), T.StructField(others, T.ArrayType(T.ArrayType(edit)))]
-    return append(docs.withColumn(t, F.replace(text_of(), F.lit("▁"), F.lit(" "))), run, fields).drop(t)
+    return append(docs.withColumn(t, F.replace(text_of(), F.lit("▁"), F.lit(" "))), run, fields, by=t, limit=CHUNK).drop(t)
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
-    """encoded with ``decoded``, the text of the ids; null ids decode to an empty text."""
+    """encoded with ``decoded``, the text of the ids; null ids decode to an empty text, in groups of rows as above."""
     (d,) = fresh(encoded, "decoded")
 
     def run(b):
-        m = pieces(model)
-        return [pa.array([m.decode(x.values.to_pylist() if x.is_valid else []).decode("utf-8", "replace") for x in column(b, ids)], pa.string())]
+        lists = column(b, ids)
+        offs = np.append(0, np.cumsum(np.where(np.asarray(lists.is_valid()), lists.value_lengths().fill_null(0), 0)))
+        return [pieces(model).decode_rows(np.asarray(lists.flatten()).astype(np.int64), offs)]
 
-    return append(encoded, run, [T.StructField(d, T.StringType())])
+    return append(encoded, run, [T.StructField(d, T.StringType())], by=ids, limit=CHUNK)

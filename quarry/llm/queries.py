@@ -111,7 +111,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.array_join(F.transform("scores", lambda s: s.cast("long").cast("string")), ",").alias("scores"),
+        F.array_join(F.transform("scores", lambda s: F.round(s, 6).cast("decimal(28,6)").cast("string")), ",").alias("scores"),
+        F.sha2(F.to_json("others"), 256).alias("others_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
 
