@@ -3,15 +3,16 @@
 A word goes if a window of ``window`` words that covers it also starts in a document with a smaller id.
 
 1. Confirm. Anchors (the word k-gram with the smallest hash in a window) that one document alone has
-   go first. The windows around the others are hashed (96 bits, made of 64) and combined by hash and block of
-   documents; windows of several documents are confirmed, with the smallest id that holds each.
+   go first. The windows around the others are hashed (64 bits) and combined by hash and block of
+   documents; windows of several documents are confirmed, with the smallest id that holds each and a
+   place in each block where one stands.
 2. Compile. Documents are dealt into blocks of about ``block_bytes``. Each block gets the confirmed
-   windows found in it, joins them to passages, and compiles the passages' seeds (phrases so placed that
-   each window holds one) into Aho-Corasick automata of at most ``shard_patterns`` patterns, a word
-   being one symbol. A phrase that all documents hold costs one row a block.
-3. Locate. A lookup of the hashes of the block's windows finds the confirmed ones. All documents of the
-   block stream through its automata, which pre-filter them: a confirmed window holds a seed. The windows
-   left are compared word by word with the passage; those whose first document is smaller go.
+   windows found in it, joins them to passages by their places, and compiles the passages' seeds (phrases
+   so placed that each window holds one) into Aho-Corasick automata of at most ``shard_patterns``
+   patterns, a word being one symbol. A phrase that all documents hold costs one row a block.
+3. Locate. All documents of the block stream through its automata, and only windows that cover a hit are
+   looked at: the confirmed window of the same hash is compared word by word, and if its first document
+   is smaller the words go. Without hits nothing is located.
 """
 
 from __future__ import annotations
@@ -49,17 +50,16 @@ def _find(batches, window, k):
             yield anchor_rows(np.concatenate(hs), np.concatenate(ds))
 
 
-WINDOWS = "w long, v int, block int, lo long, hi long"
+WINDOWS = "w long, block int, lo long, hi long, place long"
 
 
 def _window_hashes(p, at, window):
-    raw = R.span(p, at, at + window)
-    return R.mix(raw, 1), R.mix(raw, 2).astype(np.uint32)
+    return R.mix(R.span(p, at, at + window), 1)
 
 
-def _confirm(batches, window, k, n_blocks):
+def _confirm(batches, window, k):
     for b in batches:
-        ids = column(b, "o").to_numpy()
+        ids, ths = column(b, "o").to_numpy(), column(b, "th").to_numpy()
         block = column(b, "block").to_numpy()
         wanted = column(b, "hs")
         wv, wo_ = np.asarray(wanted.flatten()).view(np.uint64), np.asarray(wanted.offsets).astype(np.int64)
@@ -68,26 +68,28 @@ def _confirm(batches, window, k, n_blocks):
         cols = [[] for _ in range(4)]
         for lo, _, _, _, wo, p in _chunks(b, "t"):
             pos, h, first, last = R.anchors(p, wo, window, k)
-            row = lo + np.searchsorted(wo, pos, "right") - 1
-            m = R.mix(h + R.mix(row.astype(np.uint64)))
+            row = np.searchsorted(wo, pos, "right") - 1
+            m = R.mix(h + R.mix((lo + row).astype(np.uint64)))
             i = np.searchsorted(mark, m)
             keep = mark[np.minimum(i, len(mark) - 1)] == m if len(mark) else np.zeros(len(m), bool)
             n = (last - first + 1)[keep]
             at = R.ragged(first[keep], n)
-            w, v = _window_hashes(p, at, window)
             r = np.repeat(row[keep], n)
-            for lst, x in zip(cols, (w, v, block[r], ids[r]), strict=True):
+            for lst, x in zip(cols, (_window_hashes(p, at, window), lo + r, at - wo[r], ids[lo + r]), strict=True):
                 lst.append(x)
         if not cols[0]:
             continue
-        w, v, blk, d = (np.concatenate(x) for x in cols)
-        order = np.lexsort((d, blk, v, w))
-        w, v, blk, d = (x[order] for x in (w, v, blk, d))
+        w, r, at, d = (np.concatenate(x) for x in cols)
+        blk = block[r]
+        order = np.lexsort((d, blk, w))
+        w, blk, d = (x[order] for x in (w, blk, d))
         head = np.ones(len(w), bool)
-        head[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (blk[1:] != blk[:-1])
+        head[1:] = (w[1:] != w[:-1]) | (blk[1:] != blk[:-1])
         a = np.flatnonzero(head)
         z = np.append(a[1:], len(w)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(w[a].view(np.int64)), pa.array(v[a].view(np.int32)), pa.array(blk[a]), pa.array(d[a]), pa.array(d[z] if len(z) else d)], names=["w", "v", "block", "lo", "hi"])
+        r, at = r[order[a]], at[order[a]]
+        place = (ths[r].astype(np.int64) << 32) | at
+        yield pa.RecordBatch.from_arrays([pa.array(w[a].view(np.int64)), pa.array(blk[a]), pa.array(d[a]), pa.array(d[z] if len(z) else d), pa.array(place)], names=["w", "block", "lo", "hi", "place"])
 
 
 def seeds(holders: np.ndarray, window: int) -> np.ndarray:
@@ -130,9 +132,48 @@ def _safe(codes: np.ndarray) -> str:
     return codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
 
 
+def _holders(places, ths, wo, p, w, window):
+    """The word position in the block of the window w that stands at each place (text hash, position in it)."""
+    order = np.argsort(ths, kind="stable")
+    th, at = places >> 32, places & 0xFFFFFFFF
+    i = np.searchsorted(ths[order], th)
+    out = np.full(len(places), -1, np.int64)
+    todo = np.arange(len(places))
+    while len(todo):  # texts of one 32-bit hash are tried one after the other
+        todo = todo[i[todo] < len(order)]
+        row = order[i[todo]]
+        same = ths[row] == th[todo]
+        todo, row = todo[same], row[same]
+        s = wo[row] + at[todo]
+        fits = s + window <= wo[row + 1]
+        s = np.where(fits, s, 0)
+        hit = fits & (_window_hashes(p, s, window) == w[todo])
+        out[todo[hit]] = s[hit]
+        todo = todo[~hit]
+        i[todo] += 1
+    return out
+
+
+def _hits(symbols, wo, patterns, window, shard_patterns):
+    """Starts of the windows that cover a hit of the automata of patterns (a row per phrase)."""
+    near = np.zeros(len(symbols) + 1, np.int64)
+    for auto, used, size in compile_shards(patterns, shard_patterns):
+        i = np.minimum(np.searchsorted(used, symbols), len(used) - 1)
+        code = np.where(used[i] == symbols, i + 1, 0).astype(np.uint32)
+        for a, z in zip(wo[:-1].tolist(), wo[1:].tolist(), strict=True):
+            if z - a < window:
+                continue
+            e = np.fromiter((x for x, _ in auto.iter(_safe(code[a:z]))), np.int64)
+            if len(e):
+                e += a + 1
+                np.add.at(near, np.maximum(e - window, a), 1)
+                np.add.at(near, np.minimum(e - size, z - window) + 1, -1)
+    return np.flatnonzero(np.cumsum(near[:-1]) > 0)
+
+
 def _locate(left: pa.Table, right: pa.Table, names, window, shard_patterns):
     """Appends n_words, n_removed and kept to the documents of one block."""
-    tt, oo = names
+    tt, oo, hh = names
     n = left.num_rows
     ids = left[oo].to_numpy()
     buf, offs = text_buffer(left[tt])
@@ -143,49 +184,24 @@ def _locate(left: pa.Table, right: pa.Table, names, window, shard_patterns):
         hashes[a:z] = R.word_hashes(buf[offs[lo] : offs[hi]], starts[a:z] - offs[lo], ends[a:z] - offs[lo])
     gone = np.zeros(len(starts) + 1, np.int64)
     if right.num_rows and len(starts) >= window:
-        pw, pv, pm = right["w"].to_numpy().view(np.uint64), right["v"].to_numpy().view(np.uint32), right["mn"].to_numpy()
-        order = np.lexsort((pv, pw))
-        pw, pv, pm = pw[order], pv[order], pm[order]
-        new = np.append(True, (pw[1:] != pw[:-1]) | (pv[1:] != pv[:-1]))
-        pw, pv, pm = pw[new], pv[new], pm[new]
-        pat = np.full(len(starts), -1, np.int64)
-        for lo, hi in row_groups(offs, CHUNK):
-            a, z = int(wo[lo]), int(wo[hi])
-            p = R.prefix(hashes[a:z])
-            at = np.arange(max(0, z - a - window + 1))
-            at = at[at + window <= np.repeat(wo[lo + 1 : hi + 1] - a, np.diff(wo[lo : hi + 1]))[: len(at)]]
-            w, v = _window_hashes(p, at, window)
-            i = np.searchsorted(pw, w)
-            i[i == len(pw)] = 0
-            hit = (pw[i] == w) & (pv[i] == v)
-            pat[at[hit] + a] = i[hit]
-        known = np.flatnonzero(pat >= 0)
-        if len(known):
-            holder = np.full(len(pw), -1, np.int64)
-            holder[pat[known[::-1]]] = known[::-1]
-            _, word = np.unique(hashes, return_inverse=True)
-            near = np.zeros(len(starts) + 1, np.int64)
-            for auto, used, size in compile_shards(word[seeds(np.sort(holder[holder >= 0]), window)], shard_patterns):
-                code = np.zeros(int(word.max()) + 1, np.uint32)
-                code[used] = np.arange(1, len(used) + 1)
-                for r in range(n):
-                    a, z = int(wo[r]), int(wo[r + 1])
-                    if z - a < window:
-                        continue
-                    e = np.fromiter((x for x, _ in auto.iter(_safe(code[word[a:z]]))), np.int64)
-                    if len(e):
-                        e += a + 1
-                        np.add.at(near, np.maximum(e - window, a), 1)
-                        np.add.at(near, e - size + 1, -1)
-            s = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (pat >= 0))
-            row = np.searchsorted(wo, s, "right") - 1
-            s = s[pm[pat[s]] < ids[row]]
-            for lo in range(0, len(s), 1 << 18):
-                t = s[lo : lo + (1 << 18)]
-                own = holder[pat[t]]
-                t = t[np.all([word[t + j] == word[own + j] for j in range(window)], axis=0)]
-                np.add.at(gone, t, 1)
-                np.add.at(gone, t + window, -1)
+        pw, pm, place = right["w"].to_numpy().view(np.uint64), right["mn"].to_numpy(), right["place"].to_numpy()
+        order = np.argsort(pw, kind="stable")
+        order = order[np.append(True, pw[order[1:]] != pw[order[:-1]])]
+        pw, pm, place = pw[order], pm[order], place[order]
+        p = R.prefix(hashes)
+        holder = _holders(place, left[hh].to_numpy().astype(np.int64), wo, p, pw, window)
+        s = _hits(hashes, wo, hashes[seeds(np.unique(holder[holder >= 0]), window)], window, shard_patterns)
+        w = _window_hashes(p, s, window)
+        i = np.minimum(np.searchsorted(pw, w), len(pw) - 1)
+        hit = (pw[i] == w) & (holder[i] >= 0)
+        s, i = s[hit], i[hit]
+        hit = pm[i] < ids[np.searchsorted(wo, s, "right") - 1]
+        s, i = s[hit], i[hit]
+        for lo in range(0, len(s), 1 << 18):
+            t, own = s[lo : lo + (1 << 18)], holder[i[lo : lo + (1 << 18)]]
+            t = t[np.all([hashes[t + j] == hashes[own + j] for j in range(window)], axis=0)]
+            np.add.at(gone, t, 1)
+            np.add.at(gone, t + window, -1)
     out = np.cumsum(gone[:-1]) > 0
     kept, n_words, n_gone = [], np.diff(wo), np.zeros(n, np.int64)
     raw = buf.tobytes()
@@ -209,21 +225,21 @@ def dedup_phrases(docs: DataFrame, window: int = 13, k: int = 5, block_bytes: in
     n_blocks = max(1, -(-total_bytes(docs) // block_bytes))
     base = docs.select(ordinal().alias("o"), text_of().alias("t"))
     found = ws.save(shared_anchors(base.mapInArrow(lambda it: _find(it, window, k), ANCHOR_SCHEMA)), "anchors")
-    block = lambda o, t: F.pmod(F.xxhash64(o, F.hash(t)), F.lit(n_blocks)).cast("int")
-    keyed = base.join(found, "o").select("o", "t", "hs", block("o", "t").alias("block"))
-    rows = keyed.mapInArrow(lambda it: _confirm(it, window, k, n_blocks), WINDOWS)
-    w = Window.partitionBy("w", "v")
+    block = lambda o, th: F.pmod(F.xxhash64(o, th), F.lit(n_blocks)).cast("int")
+    keyed = base.join(found, "o").select("o", "t", "hs", F.hash("t").alias("th")).withColumn("block", block("o", "th"))
+    rows = keyed.mapInArrow(lambda it: _confirm(it, window, k), WINDOWS)
+    w = Window.partitionBy("w")
     sure = rows.withColumns({"mn": F.min("lo").over(w), "mx": F.max("hi").over(w)}).where("mn < mx and hi > mn")
-    phrases = ws.save(sure.select("block", "w", "v", "mn"), "phrases")
+    phrases = ws.save(sure.select("block", "w", "mn", "place"), "phrases")
     ws.drop(found)
-    o, tt, blk, nw, nr, kept = fresh(docs, "ord", "tt", "block", "n_words", "n_removed", "kept")
-    full = docs.withColumns({o: ordinal(), tt: text_of()}).withColumn(blk, block(o, tt))
+    o, tt, th, blk, nw, nr, kept = fresh(docs, "ord", "tt", "th", "block", "n_words", "n_removed", "kept")
+    full = docs.withColumns({o: ordinal(), tt: text_of()}).withColumn(th, F.hash(tt)).withColumn(blk, block(o, th))
     new = [T.StructField(nw, T.LongType()), T.StructField(nr, T.LongType()), T.StructField(kept, T.StringType())]
     keep = docs.columns
     schema = T.StructType([*docs.schema.fields, *new])
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols = _locate(left, right, (tt, o), window, shard_patterns)
+        cols = _locate(left, right, (tt, o, th), window, shard_patterns)
         return pa.Table.from_arrays([*(left[c] for c in keep), *cols], names=schema.names)
 
     return full.groupBy(blk).cogroup(phrases.groupBy("block")).applyInArrow(work, schema)
