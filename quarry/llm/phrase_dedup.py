@@ -28,6 +28,7 @@ from .common import Workspace, column, fresh, ordinal, row_groups, text_buffer,
 from .shared import ANCHOR_SCHEMA, anchor_rows, shared_anchors
 
 CHUNK = 2 << 20
+BASE = 40
 
 
 def _chunks(batch, name):
@@ -110,26 +111,34 @@ def seeds(holders: np.ndarray, window: int) -> np.ndarray:
 def compile_shards(symbols: np.ndarray, shard_patterns: int):
     """Aho-Corasick automata over the distinct rows of symbols (a phrase's words as numbers).
 
-    Yields (automaton, its words in ascending order, phrase length). The words of a shard get the
-    characters 1, 2, ..., so that it has fewer than 1,100,000 of them; all other words are character 0.
+    Yields (automaton, its words in ascending order, phrase length in words, characters of a word).
     """
     import ahocorasick
 
     size = symbols.shape[1]
-    most = max(1, min(shard_patterns, 1_000_000 // size))
-    for a in range(0, len(symbols), most):
-        part = symbols[a : a + most]
-        used, coded = np.unique(part, return_inverse=True)
+    for a in range(0, len(symbols), shard_patterns):
+        used, coded = np.unique(symbols[a : a + shard_patterns], return_inverse=True)
+        digits = 1
+        while BASE**digits <= len(used):
+            digits += 1
         auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        text = _safe(coded.ravel() + 1)
-        for i in range(0, len(text), size):
-            auto.add_word(text[i : i + size])
+        text, step = spelled(coded.ravel() + 1, digits), size * digits
+        for i in range(0, len(text), step):
+            auto.add_word(text[i : i + step])
         auto.make_automaton()
-        yield auto, used, size
+        yield auto, used, size, digits
 
 
-def _safe(codes: np.ndarray) -> str:
-    return codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+def spelled(codes: np.ndarray, digits: int) -> str:
+    """Numbers to the base BASE, a character a digit, each place with characters of its own.
+
+    So few characters can follow one another that a step of an automaton is short, and a match begins
+    and ends where words do. 0 stands for the words of no pattern.
+    """
+    out = np.empty((len(codes), digits), np.uint32)
+    for d in range(digits):
+        out[:, d] = codes // BASE ** (digits - 1 - d) % BASE + 1 + d * BASE
+    return out.tobytes().decode("utf-32-le")
 
 
 def _holders(places, ths, wo, p, w, window):
@@ -157,15 +166,15 @@ def _holders(places, ths, wo, p, w, window):
 def _hits(symbols, wo, patterns, window, shard_patterns):
     """Starts of the windows that cover a hit of the automata of patterns (a row per phrase)."""
     near = np.zeros(len(symbols) + 1, np.int64)
-    for auto, used, size in compile_shards(patterns, shard_patterns):
+    for auto, used, size, digits in compile_shards(patterns, shard_patterns):
         i = np.minimum(np.searchsorted(used, symbols), len(used) - 1)
-        code = np.where(used[i] == symbols, i + 1, 0).astype(np.uint32)
+        code = np.where(used[i] == symbols, i + 1, 0)
         for a, z in zip(wo[:-1].tolist(), wo[1:].tolist(), strict=True):
             if z - a < window:
                 continue
-            e = np.fromiter((x for x, _ in auto.iter(_safe(code[a:z]))), np.int64)
+            e = np.fromiter((x for x, _ in auto.iter(spelled(code[a:z], digits))), np.int64)
             if len(e):
-                e += a + 1
+                e = (e + 1) // digits + a
                 np.add.at(near, np.maximum(e - window, a), 1)
                 np.add.at(near, np.minimum(e - size, z - window) + 1, -1)
     return np.flatnonzero(np.cumsum(near[:-1]) > 0)
@@ -213,7 +222,7 @@ def _locate(left: pa.Table, right: pa.Table, names, window, shard_patterns):
     return [pa.array(n_words.astype(np.int64)), pa.array(n_gone), pa.array(kept, pa.string())]
 
 
-def dedup_phrases(docs: DataFrame, window: int = 13, k: int = 5, block_bytes: int = 4 << 20, shard_patterns: int = 140_000) -> DataFrame:
+def dedup_phrases(docs: DataFrame, window: int = 13, k: int = 5, block_bytes: int = 4 << 20, shard_patterns: int = 60_000) -> DataFrame:
     """docs with ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space).
 
     Words are runs of bytes other than space and 09-0D. A null text has none. Documents of fewer words
