@@ -122,12 +122,15 @@ def anchors(p: np.ndarray, offs: np.ndarray, window: int, k: int):
     best = slide(np.concatenate([pad, low, pad]), w, np.maximum)
     pos = np.flatnonzero(h == best[: len(h)])
     hp = h[pos]
-    padded = np.concatenate([pad, low, pad])
-    first, last = np.full(len(pos), -1, np.int64), np.full(len(pos), -1, np.int64)
-    for j in range(w):
-        hit = padded[pos - j + w - 1] == hp
-        first[hit] = pos[hit] - j
-        last = np.where(hit & (last < 0), pos - j, last)
+    # the windows that chose a gram follow one another: a part of a run of equal minima
+    begin = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    end = np.append(begin[1:], len(low)) - 1
+    run = np.searchsorted(begin, np.minimum(pos, len(low) - 1), "right") - 1
+    todo = np.flatnonzero(low[begin[run]] != hp)
+    while len(todo):
+        run[todo] -= 1
+        todo = todo[low[begin[run[todo]]] != hp[todo]]
+    first, last = np.maximum(begin[run], pos - w + 1), np.minimum(end[run], pos)
     return pos, hp, first, last
 
 

@@ -63,11 +63,21 @@ def _find(batches, window, k):
             yield anchor_rows(np.concatenate(hs), np.concatenate(ds))
 
 
-CONTEXTS = "h long, at int, ctx binary, os array<long>, ths array<int>, starts array<long>"
+#: The places of a context, packed, as they are many: document id, hash of its text, start.
+PLACE = np.dtype([("o", "<i8"), ("th", "<i8"), ("s", "<i4")])
+CONTEXTS = "h long, at int, ctx binary, places binary"
 
 
-def _lists(offs, values, kind):
-    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values, kind))
+def _binary(offs, data: np.ndarray):
+    return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _flat(column):
+    """The bytes of a binary column end to end, and their offsets."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
 def _contexts(batches, window, k):
@@ -102,11 +112,10 @@ def _contexts(batches, window, k):
         first = np.flatnonzero(head)
         occ = np.append(first, len(h))
         lens = (e - s)[first]
-        ctx = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(0, np.cumsum(lens)).astype(np.int32).tobytes()), pa.py_buffer(buf[R.ragged(s[first], lens)].tobytes())])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h[first].view(np.int64)), pa.array(at[first].astype(np.int32)), ctx, _lists(occ, ids[row], pa.int64()), _lists(occ, ths[row], pa.int32()), _lists(occ, own, pa.int64())],
-            names=["h", "at", "ctx", "os", "ths", "starts"],
-        )
+        places = np.empty(len(h), PLACE)
+        places["o"], places["th"], places["s"] = ids[row], ths[row], own
+        ctx = _binary(np.append(0, np.cumsum(lens)), buf[R.ragged(s[first], lens)])
+        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(at[first].astype(np.int32)), ctx, _binary(occ * PLACE.itemsize, places)], names=["h", "at", "ctx", "places"])
 
 
 class Suffixes:
@@ -250,7 +259,7 @@ def repeats(h, at, buf, offs, low, window):
     return out[R.ragged(w_off[class_of], lens_out)]
 
 
-SPANS = "o long, th int, s long, e long"
+SPANS = "o long, th long, s long, e long"
 
 
 def _bucket(tables, window):
@@ -259,14 +268,10 @@ def _bucket(tables, window):
     order = np.argsort(h, kind="stable")
     t = t.take(pa.array(order))
     h, at = h[order], t["at"].to_numpy().astype(np.int64)
-    ctx = t["ctx"].combine_chunks()
-    offs = np.frombuffer(ctx.buffers()[1], np.int32 if pa.types.is_binary(ctx.type) else np.int64, len(ctx) + 1, 0).astype(np.int64)
-    buf = np.frombuffer(ctx.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-    offs = offs - offs[0]
-    os_, ths, starts = (t[x].combine_chunks() for x in ("os", "ths", "starts"))
-    oo = np.asarray(os_.offsets).astype(np.int64)
-    docs, th, own = (np.asarray(x.flatten()) for x in (os_, ths, starts))
-    oo = oo - oo[0]
+    buf, offs = _flat(t["ctx"])
+    places, oo = _flat(t["places"])
+    places, oo = places.view(PLACE), oo // PLACE.itemsize
+    docs, th, own = (np.ascontiguousarray(places[x]) for x in ("o", "th", "s"))
     n_occ = np.diff(oo)
     low = np.minimum.reduceat(docs, oo[:-1])
     least = repeats(h, at, buf, offs, low, window)
@@ -287,11 +292,11 @@ def _bucket(tables, window):
         b, e = np.flatnonzero(begin), np.flatnonzero(stop)
         if len(b):
             w = who[b]
-            base = own[a : a + step][w]
+            base = own[a : a + step][w].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(d[w]), pa.array(th[a : a + step][w]), pa.array(base + rel[b]), pa.array(base + rel[e] + window)], names=["o", "th", "s", "e"])
 
 
-def _sort_buckets(batches, window, limit=3 << 20):
+def _sort_buckets(batches, window, limit=1 << 18):
     """Rows come ordered by anchor; whole anchors are worked on in groups of about limit bytes."""
     held, size = [], 0
     for b in batches:
@@ -344,13 +349,14 @@ def dedup_passages(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
     ws = Workspace(spark, "suffix")
     base = docs.select(ordinal().alias("o"), text_of().alias("t"))
     found = ws.save(shared_anchors(base.mapInArrow(lambda it: _find(it, window, k), ANCHOR_SCHEMA)), "anchors")
-    keyed = base.withColumn("th", F.hash("t")).join(found, "o").select("o", "th", "t", "hs")
+    keyed = ws.save(base.withColumn("th", F.xxhash64("t")).join(found, "o").select("o", "th", "t", "hs"), "keyed")
+    ws.drop(found)
     ctx = keyed.mapInArrow(lambda it: _contexts(it, window, k), CONTEXTS).repartition("h").sortWithinPartitions("h")
     spans = ws.save(ctx.mapInArrow(lambda it: _sort_buckets(it, window), SPANS), "spans")
-    ws.drop(found)
+    ws.drop(keyed)
     o, th, tt, sp, nb, nr, ns, kb = fresh(docs, "ord", "th", "tt", "spans", "n_bytes", "n_removed", "n_spans", "kept_bytes")
     per = spans.groupBy(F.col("o").alias(o), F.col("th").alias(th)).agg(F.collect_list(F.struct("s", "e")).alias(sp))
-    full = docs.withColumns({o: ordinal(), tt: text_of()}).withColumn(th, F.hash(tt)).join(per, [o, th], "left")
+    full = docs.withColumns({o: ordinal(), tt: text_of()}).withColumn(th, F.xxhash64(tt)).join(per, [o, th], "left")
     fields = [T.StructField(nb, T.LongType()), T.StructField(nr, T.LongType()), T.StructField(ns, T.LongType()), T.StructField(kb, T.BinaryType())]
     return append(full, lambda b: _cut(b, (tt, sp)), fields).drop(o, th, tt, sp)
 
