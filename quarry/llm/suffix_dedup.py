@@ -129,16 +129,16 @@ class Suffixes:
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes at x and y, at most depth."""
         px, py, ix, iy = self.p[x], self.p[y], self.inv[x], self.inv[y]
-        lo = np.zeros(len(x), np.int64)
-        hi = np.full(len(x), self.depth, np.int64)
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                return lo
+        out = np.full(len(x), self.depth, np.int64)
+        rest = np.flatnonzero((self.p[x + self.depth] - px) * ix != (self.p[y + self.depth] - py) * iy)
+        x, y, px, py, ix, iy = (v[rest] for v in (x, y, px, py, ix, iy))
+        lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), self.depth - 1, np.int64)
+        for _ in range((self.depth - 1).bit_length()):
             mid = (lo + hi + 1) >> 1
             same = (self.p[x + mid] - px) * ix == (self.p[y + mid] - py) * iy
-            lo = np.where(open_ & same, mid, lo)
-            hi = np.where(open_ & ~same, mid - 1, hi)
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        out[rest] = lo
+        return out
 
     def less(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether suffix x comes before y, and whether they are equal to the depth."""
