@@ -1,11 +1,11 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 In a block of vectors each dimension is a list sorted by value. A query reads all lists in step, each
-from the end where its contribution is largest. What has been read of a vector, the lists' frontiers and
-their least values bound its score from above and below. Reading stops when the vectors that may still be
-among the k best (upper bound not under the k-th lower bound, nor under a bound known from a sample) are
-few; their scores are then resolved in full. The lists lie in memory, and reading them is emulated: all of
-a block's contributions are computed, and the lists give the frontiers that drop vectors from the sums.
+from the end where its contribution is largest, and adds up what it reads by vector. What has been read of
+a vector, the lists' frontiers and their least values bound its score from above and below. Reading stops
+when no vector outside what was read can still be among the k best (the frontiers' sum is under the k-th
+lower bound, or under a bound known from a sample) and at most half of the others can (upper bounds); the
+scores of those are then resolved in full, from the vectors themselves.
 """
 
 from __future__ import annotations
@@ -51,55 +51,72 @@ def matrix(column, d: int) -> np.ndarray:
 
 
 class Lists:
-    """A block's sorted lists."""
+    """A block's sorted lists. ``read`` counts the list entries read, ``total`` those of all queries' lists."""
+
+    STEPS = 8
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         self.ids, self.v = ids, v
         self.n, self.d = v.shape
-        by = np.argsort(v, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(v, by, 0)
+        self.who = np.ascontiguousarray(np.argsort(v, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(v.T, self.who, 1).astype(float)
         self.most = largest(v)
-        self.small = v.astype(np.int32) if self.most < 2**31 else v
+        self.read = self.total = 0
+
+    def contenders(self, live: np.ndarray, q: np.ndarray, use: np.ndarray, k: int, floor: float) -> np.ndarray:
+        """Rows of the block that may be among the k best rows of ``live`` (a mask), by reading the lists of ``use``."""
+        n, up = self.n, q > 0
+        best, worst = np.where(up, self.sorted[use, -1], self.sorted[use, 0]) * q, np.where(up, self.sorted[use, 0], self.sorted[use, -1]) * q
+        least = np.minimum(worst, 0).sum()
+        step = max(1, -(-n // self.STEPS))
+        part, depth = np.zeros(n), 0
+        self.total += n * len(use)
+        seen, may = [], live
+        while depth < n:
+            more = min(step, n - depth)
+            for d, x, rising in zip(use.tolist(), q.tolist(), up.tolist(), strict=True):
+                at = slice(n - depth - more, n - depth) if rising else slice(depth, depth + more)
+                rows = self.who[d, at]
+                seen.append((d, rows))
+                part[rows] += self.sorted[d, at] * x  # a list holds a row once
+            depth += more
+            self.read += more * len(use)
+            frontier = np.where(up, self.sorted[use, n - depth], self.sorted[use, depth - 1]) * q
+            if frontier.sum() >= floor and 2 * depth < n:
+                continue  # outsiders may still qualify
+            lower = part + least
+            bar = max(floor, np.partition(lower[live], -k)[-k])
+            if frontier.sum() >= bar:
+                continue
+            rest = np.full(n, frontier.sum())  # what the lists may still give each row
+            front = dict(zip(use.tolist(), frontier.tolist(), strict=True))
+            for d, rows in seen:
+                rest[rows] -= front[d]
+            slack = 1e-9 * (np.abs(best).sum() + np.abs(worst).sum())  # sums of frontiers are of floats
+            may = live & (part + rest >= bar - slack)
+            if 2 * np.count_nonzero(may) <= n:
+                break
+        return np.flatnonzero(may)
 
     def search(self, own: int, q: np.ndarray, k: int, floor: float):
         """(vec_id, score) of the k best, ties to smaller ids; rows of the query's own id take no part."""
         d = min(self.d, len(q))
-        q = whole = q[:d]
+        q = q[:d]
         use = np.flatnonzero(q != 0)
         q = q[use]
         other = self.ids != own
         live = np.flatnonzero(other)
-        if len(live) > 4 * k and len(use) and self.most * largest(q) * len(q) < 2**63:
-            # small enough numbers are added up in 32 bits
-            kind = np.int32 if self.most * int(np.abs(q).max()) * len(use) < 2**31 else np.int64
-            base = (self.small if kind == np.int32 else self.v)[:, : len(whole)] if len(use) == len(whole) else self.v.astype(kind)[:, use]
-            part = base * q.astype(kind)
-            if len(live) < self.n:
-                part = part[live]
-            down = q > 0
-            lists = self.sorted[:, use] * q
-            least = np.where(down, lists[0], lists[-1]).astype(kind)
-            depth = max(4 * k, self.n // 4)
-            while depth < self.n:
-                # read so far: contributions not under the frontier; unread ones are at most the frontier
-                frontier = np.where(down, lists[self.n - depth], lists[depth - 1]).astype(kind)
-                upper = np.maximum(part, frontier).sum(1, dtype=kind)
-                stay = upper >= floor
-                if not stay.all():
-                    live, part, upper = live[stay], part[stay], upper[stay]
-                if len(live) > k:
-                    lower = np.where(part >= frontier, part, least).sum(1, dtype=kind)
-                    stay = upper >= np.partition(lower, -k)[-k]
-                    live, part = live[stay], part[stay]
-                if len(live) <= 4 * k:
-                    break
-                depth += self.n // 4
-        score = products(self.v[np.ix_(live, use)], q, self.most)
+        if len(live) > 4 * k and len(use) and self.most * largest(q) * len(q) < 2**53:
+            live = self.contenders(other, q.astype(float), use, k, floor)
+        score = products(self.v[np.ix_(live, use)] if len(use) < self.d else self.v[live], q, self.most)
         keep = score >= floor
         live, score = live[keep], score[keep]
         if score.dtype == object:
             best = sorted(range(len(score)), key=lambda i: (-score[i], self.ids[live[i]]))[:k]
         else:
+            if len(score) > 4 * k:
+                top = score >= np.partition(score, -k)[-k]
+                live, score = live[top], score[top]
             best = np.lexsort((self.ids[live], -score))[:k]
         return self.ids[live[best]], score[best].astype(np.int64)
 
