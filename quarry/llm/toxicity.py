@@ -3,7 +3,8 @@
 A logistic regression over the distinct words of a text and their first five letters (both hashed). It
 is trained on a bounded sample of labelled texts. For each training text there is a counterfactual:
 identity terms in it swapped for others of their group, or, without any, a neutral mention of one. The
-squared change of the score's logit is penalised, so that naming a group moves no score.
+squared change of the score's logit is penalised, so that naming a group moves no score. The threshold is
+set by a part of the sample that a second fit leaves out.
 """
 
 from __future__ import annotations
@@ -72,8 +73,8 @@ def counterfactual(x: np.ndarray, i: int, terms) -> np.ndarray:
     return np.array(sorted(keep | {v for t in gain for v in t.tolist()}), np.int64)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 1.0, l2: float = 1e-3, steps: int = 120, min_rows: int = 5):
-    """Weights and bias by full-batch Adam. rows: distinct features of each text."""
+def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 1.0, l2: float = 1e-2, l1: float = 0.2, steps: int = 60, min_rows: int = 5):
+    """Weights and bias by full-batch Adam, small weights shrunk to 0 (l1). rows: distinct features of each text."""
     w, bias = np.zeros(DIMS), 0.0
     if len(y) == 0 or y.min() == y.max():
         return w, (np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0)
@@ -108,16 +109,53 @@ def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 1.0, l2: float =
         g1 = 0.9 * g1 + 0.1 * g
         g2 = 0.999 * g2 + 0.001 * g * g
         v -= 0.1 * (g1 / (1 - 0.9**step)) / (np.sqrt(g2 / (1 - 0.999**step)) + 1e-8)
+        v[:m] = np.sign(v[:m]) * np.maximum(np.abs(v[:m]) - 0.1 * l1, 0)
     w[ids] = v[:m]
     return w, float(v[m])
 
 
+def margins(rows: list[np.ndarray], w: np.ndarray, bias: float) -> np.ndarray:
+    return np.array([w[x].sum() for x in rows]) + bias
+
+
+def threshold(z: np.ndarray, y: np.ndarray, cost: float) -> float:
+    """The margin from which on to reject: most recall less ``cost`` times the share of clean rows rejected."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    kept = np.append(0, np.cumsum(y)) / y.sum()
+    clean = 1 - np.append(0, np.cumsum(1 - y)) / (1 - y).sum()
+    gain = 1 - kept - cost * clean
+    edge = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+    gain[1:-1][z[1:] == z[:-1]] = -np.inf
+    best = np.flatnonzero(gain == gain.max())
+    return float(edge[best[len(best) // 2]])
+
+
+def calibrated(rows: list[np.ndarray], y: np.ndarray, cost: float = 4.0, least: int = 25, **options):
+    """fit() on all rows, its bias moved by what a fit without three tenths of them says of those.
+
+    With fewer than ``least`` rows of either label in the part left out the bias stays.
+    """
+    w, bias = fit(rows, y, **options)
+    out = R.mix(np.arange(len(y), dtype=np.uint64), 17) % np.uint64(10) < np.uint64(3)
+    if min(y[out].sum(), (1 - y[out]).sum()) >= least and 0 < y[~out].sum() < (~out).sum():
+        part = fit([x for x, o in zip(rows, out, strict=True) if not o], y[~out], **options)
+        bias -= min(0.0, threshold(margins([x for x, o in zip(rows, out, strict=True) if o], *part), y[out], cost))
+    return w, bias
+
+
 def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options):
-    """A model from at most max_rows labelled texts that are not held out (a fixed choice by hash of the id)."""
+    """A model from at most max_rows labelled texts that are not held out (a fixed choice by hash of the id).
+
+    Labels that are null or not 0 or 1, or of null ids or ids without a document, don't count; a label row that
+    repeats counts once, an id with both labels or with several documents counts with each. A null text is
+    empty, long texts count whole. Without labels, or with one label only, the model is a constant. What is
+    sent to the executors (``pick``) and gathered has max_rows rows at most per document of an id.
+    """
     pick = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     pick = pick.select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
     pick = pick.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
@@ -132,11 +170,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options):
 
     t = some.mapInArrow(run, "doc_id long, y int, f array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     rows = [np.asarray(r.values).astype(np.int64) if len(r) else np.zeros(0, np.int64) for r in t["f"]]
-    return fit(rows, t["y"].to_numpy().astype(float), **options)
+    return calibrated(rows, t["y"].to_numpy().astype(float), **options)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """docs with ``score`` (0 to 1) and ``predicted``: map only. A null text scores as an empty one."""
+    """docs with ``score`` (0 to 1) and ``predicted``: map only, so no rows, no result.
+
+    A null text scores as an empty one; equal texts score alike, and whole. Extra columns pass through; new
+    ones give way to existing names.
+    """
     w, bias = model[0].astype(np.float32), model[1]
     t, s, p = fresh(docs, "t", "score", "predicted")
 
