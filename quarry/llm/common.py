@@ -1,7 +1,9 @@
 """What the operators share: the workspace for intermediate tables and small column helpers.
 
 Row identity. ``doc_id`` may be null or repeat. A null id sorts after every other id (``ord``), and
-rows of one id are documents of their own: none of them is smaller than the others.
+rows of one id are documents of their own: none of them is smaller than the others. ``keyed_ordinal``
+deals null ids out by their texts, so that no group of rows holds all of them; such numbers are from
+NULLS on, which no id may reach, and are compared as if all were NULLS.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAST = 2**63 - 1
+NULLS = LAST - 2**32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -28,6 +31,17 @@ def ordinal(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(LAST))
 
 
+def keyed_ordinal(col: str = "doc_id", text: str = "text") -> Column:
+    """The id to group by; see above."""
+    own = F.lit(LAST) - F.xxhash64(text_of(text)).bitwiseAND(F.lit(2**32 - 1))
+    return F.coalesce(F.col(col).cast("long"), own)
+
+
+def rank_of(col: str) -> Column:
+    """A keyed ordinal as it compares."""
+    return F.least(F.col(col), F.lit(NULLS))
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, lower_ascii, ordinal, text_of
+from .common import SPACES, fresh, keyed_ordinal, lower_ascii, rank_of, text_of
 
 
 def line_key(line):
@@ -27,14 +27,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     """
     ord_, drop, lines, kl, nl, nd, kept = fresh(docs, "ord", "drop", "lines", "kept_lines", "n_lines", "n_dropped", "kept")
     split = lambda: F.split(text_of(), "\n", -1)
-    long_keys = docs.select(ordinal().alias("o"), F.explode(F.array_distinct(F.transform(split(), line_key))).alias("key")).where(F.length("key") >= min_chars)
+    long_keys = docs.select(keyed_ordinal().alias("o"), F.explode(F.array_distinct(F.transform(split(), line_key))).alias("key")).where(F.length("key") >= min_chars)
     keys = long_keys.select("o", F.unhex(F.md5("key")).alias("k"))
     if min_docs == 2:
-        shared = keys.groupBy("k").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi")
+        shared = keys.groupBy("k").agg(F.min(rank_of("o")).alias("lo"), F.max(rank_of("o")).alias("hi")).where("lo < hi")
     else:
-        shared = keys.distinct().groupBy("k").agg(F.min("o").alias("lo"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    gone = keys.join(shared.select("k", "lo"), "k").where("o > lo").groupBy("o").agg(F.collect_set("k").alias(drop)).withColumnRenamed("o", ord_)
-    out = docs.withColumn(ord_, ordinal()).join(gone, ord_, "left")
+        shared = keys.select(rank_of("o").alias("o"), "k").distinct().groupBy("k").agg(F.min("o").alias("lo"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    gone = keys.join(shared.select("k", "lo"), "k").where(rank_of("o") > F.col("lo")).groupBy("o").agg(F.collect_set("k").alias(drop)).withColumnRenamed("o", ord_)
+    out = docs.withColumn(ord_, keyed_ordinal()).join(gone, ord_, "left")
     stays = lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col(drop), F.unhex(F.md5(line_key(x))))
     out = out.withColumn(lines, split()).withColumn(kl, F.when(F.col(drop).isNull(), F.col(lines)).otherwise(F.filter(F.col(lines), stays)))
     return out.withColumns({nl: F.size(lines).cast("long"), nd: (F.size(lines) - F.size(kl)).cast("long"), kept: F.array_join(kl, "\n")}).drop(ord_, drop)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling as R
-from .common import Workspace, column, fresh, ordinal, row_groups, text_buffer, text_of, total_bytes
+from .common import NULLS, Workspace, column, fresh, keyed_ordinal, row_groups, text_buffer, text_of, total_bytes
 from .shared import ANCHOR_SCHEMA, anchor_rows, shared_anchors
 
 CHUNK = 2 << 20
@@ -60,7 +60,7 @@ def _window_hashes(p, at, window):
 
 def _confirm(batches, window, k):
     for b in batches:
-        ids, ths = column(b, "o").to_numpy(), column(b, "th").to_numpy()
+        ids, ths = np.minimum(column(b, "o").to_numpy(), NULLS), column(b, "th").to_numpy()
         block = column(b, "block").to_numpy()
         wanted = column(b, "hs")
         wv, wo_ = np.asarray(wanted.flatten()).view(np.uint64), np.asarray(wanted.offsets).astype(np.int64)
@@ -184,7 +184,7 @@ def _locate(left: pa.Table, right: pa.Table, names, window, shard_patterns):
     """Appends n_words, n_removed and kept to the documents of one block."""
     tt, oo, hh = names
     n = left.num_rows
-    ids = left[oo].to_numpy()
+    ids = np.minimum(left[oo].to_numpy(), NULLS)
     buf, offs = text_buffer(left[tt])
     starts, ends, wo = R.words(buf, offs)
     hashes = np.empty(len(starts), np.uint64)
@@ -232,7 +232,7 @@ def dedup_phrases(docs: DataFrame, window: int = 13, k: int = 5, block_bytes: in
     spark = docs.sparkSession
     ws = Workspace(spark, "phrases")
     n_blocks = max(1, -(-total_bytes(docs) // block_bytes))
-    base = docs.select(ordinal().alias("o"), text_of().alias("t"))
+    base = docs.select(keyed_ordinal().alias("o"), text_of().alias("t"))
     found = ws.save(shared_anchors(base.mapInArrow(lambda it: _find(it, window, k), ANCHOR_SCHEMA)), "anchors")
     block = lambda o, th: F.pmod(F.xxhash64(o, th), F.lit(n_blocks)).cast("int")
     keyed = base.join(found, "o").select("o", "t", "hs", F.hash("t").alias("th")).withColumn("block", block("o", "th"))
@@ -242,7 +242,7 @@ def dedup_phrases(docs: DataFrame, window: int = 13, k: int = 5, block_bytes: in
     phrases = ws.save(sure.select("block", "w", "mn", "place"), "phrases")
     ws.drop(found)
     o, tt, th, blk, nw, nr, kept = fresh(docs, "ord", "tt", "th", "block", "n_words", "n_removed", "kept")
-    full = docs.withColumns({o: ordinal(), tt: text_of()}).withColumn(th, F.hash(tt)).withColumn(blk, block(o, th))
+    full = docs.withColumns({o: keyed_ordinal(), tt: text_of()}).withColumn(th, F.hash(tt)).withColumn(blk, block(o, th))
     new = [T.StructField(nw, T.LongType()), T.StructField(nr, T.LongType()), T.StructField(kept, T.StringType())]
     keep = docs.columns
     schema = T.StructType([*docs.schema.fields, *new])

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import rank_of
+
 
 def anchor_rows(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
     """A row per anchor hash: its smallest document, and the others (null if none)."""
@@ -37,6 +39,6 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("h")
     hi = F.when(F.col("more").isNull(), F.col("o")).otherwise(F.array_max("more"))
-    both = rows.withColumns({"lo": F.min("o").over(w), "hi": F.max(hi).over(w)}).where("lo < hi")
+    both = rows.withColumns({"lo": F.min("o").over(w), "hi": F.max(hi).over(w)}).where(rank_of("lo") < rank_of("hi"))
     each = both.select("h", F.explode(F.concat(F.array("o"), F.coalesce("more", F.array().cast("array<long>")))).alias("o"))
     return each.groupBy("o").agg(F.collect_list("h").alias("hs"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling as R
-from .common import Workspace, append, column, fresh, ordinal, row_groups, text_buffer, text_of
+from .common import NULLS, Workspace, append, column, fresh, keyed_ordinal, row_groups, text_buffer, text_of
 from .shared import ANCHOR_SCHEMA, anchor_rows, shared_anchors
 
 CHUNK = 1 << 20
@@ -273,7 +273,8 @@ def _bucket(tables, window):
     places, oo = places.view(PLACE), oo // PLACE.itemsize
     docs, th, own = (np.ascontiguousarray(places[x]) for x in ("o", "th", "s"))
     n_occ = np.diff(oo)
-    low = np.minimum.reduceat(docs, oo[:-1])
+    rank = np.minimum(docs, NULLS)
+    low = np.minimum.reduceat(rank, oo[:-1])
     least = repeats(h, at, buf, offs, low, window)
     nwin = np.diff(offs) - window + 1
     w_off = np.append(0, np.cumsum(nwin))
@@ -282,7 +283,7 @@ def _bucket(tables, window):
     for a in range(0, len(row), step):
         r, d = row[a : a + step], docs[a : a + step]
         n = nwin[r]
-        gone = least[R.ragged(w_off[r], n)] < np.repeat(d, n)
+        gone = least[R.ragged(w_off[r], n)] < np.repeat(rank[a : a + step], n)
         who = np.repeat(np.arange(len(r)), n)
         rel = np.arange(len(gone)) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
         begin = gone.copy()
@@ -347,7 +348,7 @@ def dedup_passages(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix")
-    base = docs.select(ordinal().alias("o"), text_of().alias("t"))
+    base = docs.select(keyed_ordinal().alias("o"), text_of().alias("t"))
     found = ws.save(shared_anchors(base.mapInArrow(lambda it: _find(it, window, k), ANCHOR_SCHEMA)), "anchors")
     keyed = ws.save(base.withColumn("th", F.xxhash64("t")).join(found, "o").select("o", "th", "t", "hs"), "keyed")
     ws.drop(found)
@@ -356,7 +357,7 @@ def dedup_passages(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
     ws.drop(keyed)
     o, th, tt, sp, nb, nr, ns, kb = fresh(docs, "ord", "th", "tt", "spans", "n_bytes", "n_removed", "n_spans", "kept_bytes")
     per = spans.groupBy(F.col("o").alias(o), F.col("th").alias(th)).agg(F.collect_list(F.struct("s", "e")).alias(sp))
-    full = docs.withColumns({o: ordinal(), tt: text_of()}).withColumn(th, F.xxhash64(tt)).join(per, [o, th], "left")
+    full = docs.withColumns({o: keyed_ordinal(), tt: text_of()}).withColumn(th, F.xxhash64(tt)).join(per, [o, th], "left")
     fields = [T.StructField(nb, T.LongType()), T.StructField(nr, T.LongType()), T.StructField(ns, T.LongType()), T.StructField(kb, T.BinaryType())]
     return append(full, lambda b: _cut(b, (tt, sp)), fields).drop(o, th, tt, sp)
 
