@@ -33,5 +33,13 @@ class TransformationError(QuarryError):
     kind = "transformation_error"
 
 
+class Timeout(QuarryError):
+    kind = "timeout_error"
+
+
+class ConnectionFailed(QuarryError):
+    kind = "connection_error"
+
+
 class QueryError(QuarryError):
     kind = "query_error"

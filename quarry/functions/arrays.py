@@ -69,10 +69,12 @@ def from_string(c: Column, d: str, null: str | None = None) -> Column:
     return out if null is None else F.transform(out, lambda x: F.nullif(x, F.lit(null)))
 
 
-def agg(c: Column, order: Column | None = None) -> Column:
-    """array_agg that keeps NULLs; sorted by order, or by value (NULLs first) for a stable result."""
+def agg(c: Column, order: Column | None = None, keep: Column | None = None) -> Column:
+    """array_agg that keeps NULLs; sorted by order, or by value (NULLs first) for a stable result. keep: the rows that count."""
     item = F.struct((c if order is None else order).alias("k"), c.alias("v"))
-    return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"])
+    item = item if keep is None else F.when(keep, item)
+    rows = F.array_sort(F.collect_list(item))
+    return F.when(F.size(rows) > 0, F.transform(rows, lambda x: x["v"]))
 
 
 def string_agg(c: Column, d: str = ",", order: Column | None = None) -> Column:

@@ -32,7 +32,12 @@ def full(path) -> str:
 
 
 def extract(c: Column, path) -> Column:
-    """The value at a path: text for strings, JSON text for the rest."""
+    """->: the JSON text of the value at a path, so strings are in quotes."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(c), full(path), "variant"))
+
+
+def extract_text(c: Column, path) -> Column:
+    """->>: text for strings, JSON text for the rest, NULL for JSON null."""
     return F.get_json_object(c, full(path))
 
 
@@ -50,41 +55,52 @@ def exists(c: Column, key: str) -> Column:
 
 
 def contains(c: Column, pattern) -> Column:
-    """@>: objects by key, arrays by element."""
-    return _contains(c, json.loads(pattern) if isinstance(pattern, str) else pattern, [])
+    """@>: objects by key, arrays by element, plain values by type and value."""
+    return F.coalesce(_contains(F.try_parse_json(c), json.loads(pattern) if isinstance(pattern, str) else pattern), F.lit(False))
+
 
+def _kind(v: Column) -> Column:
+    t = F.schema_of_variant(v)
+    return (
+        F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").when(t.isNotNull(), "number")
+    )
 
-def _contains(c: Column, p, path) -> Column:
+
+def _contains(v: Column, p) -> Column:
     if isinstance(p, dict):
-        out = F.coalesce(F.json_object_keys(F.get_json_object(c, full(path)) if path else c).isNotNull(), F.lit(False))
-        for k, v in p.items():
-            out = out & _contains(c, v, [*path, k])
+        out = _kind(v) == "object"
+        for k, x in p.items():
+            out = out & F.coalesce(_contains(F.try_variant_get(v, full([k]), "variant"), x), F.lit(False))
         return out
-    at = F.get_json_object(c, full(path)) if path else c
     if isinstance(p, list):
-        own = F.from_json(at, "array<string>")
-        out = own.isNotNull()
+        own, out = F.try_variant_get(v, "$", "array<variant>"), _kind(v) == "array"
         for x in p:
-            out = out & F.array_contains(own, x if isinstance(x, str) else json.dumps(x, separators=(",", ":")))
-        return F.coalesce(out, F.lit(False))
+            out = out & F.coalesce(F.exists(own, (lambda x: lambda e: F.coalesce(_contains(e, x), F.lit(False)))(x)), F.lit(False))
+        return out
     if p is None:
-        return path_exists(c, path) & at.isNull()
-    return F.coalesce(at == (p if isinstance(p, str) else json.dumps(p)), F.lit(False))
+        return F.is_variant_null(v)
+    if isinstance(p, bool):
+        return (_kind(v) == "boolean") & (F.try_variant_get(v, "$", "boolean") == F.lit(p))
+    if isinstance(p, str):
+        return (_kind(v) == "string") & (F.try_variant_get(v, "$", "string") == F.lit(p))
+    return (_kind(v) == "number") & (F.try_variant_get(v, "$", "double") == F.lit(float(p)))
 
 
 def contained(c: Column, whole) -> Column:
     """<@ for objects of plain values: each key of the column is in whole, with the same value."""
     whole = json.loads(whole) if isinstance(whole, str) else whole
-    own = F.from_json(c, "map<string,string>")
-    known = F.create_map(*[F.lit(y) for k, v in whole.items() for y in (k, v if isinstance(v, str) else json.dumps(v))]) if whole else F.create_map()
-    return F.coalesce(F.forall(F.map_entries(own), lambda e: F.coalesce(F.element_at(known, e["key"]) == e["value"], F.lit(False))), F.lit(False)) if whole else F.coalesce(F.size(own) == 0, F.lit(False))
+    text = lambda v: json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+    own = F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
+    if not whole:
+        return F.coalesce(F.size(own) == 0, F.lit(False))
+    known = F.create_map(*[F.lit(y) for k, v in whole.items() for y in (k, text(v))])
+    same = F.forall(F.map_entries(own), lambda e: F.coalesce(F.element_at(known, e["key"]) == F.to_json(e["value"]), F.lit(False)))
+    return F.coalesce(same, F.lit(False))
 
 
 def typeof(c: Column) -> Column:
-    t = F.schema_of_variant(F.try_parse_json(c))
-    return (
-        F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").when(t.isNotNull(), "number")
-    )
+    """The type of JSON text; NULL if it isn't JSON."""
+    return _kind(F.try_parse_json(c))
 
 
 def build_object(*pairs: Column) -> Column:
@@ -101,14 +117,20 @@ def _scalar(c: Column) -> Column:
     return F.coalesce(F.substring(text, 2, 2**31 - 1).substr(F.lit(1), F.length(text) - 2), F.lit("null"))
 
 
-def agg(c: Column, order: Column | None = None) -> Column:
+def agg(c: Column, order: Column | None = None, keep: Column | None = None) -> Column:
     from .arrays import agg as array_agg
 
-    return F.to_json(array_agg(c, order), {"ignoreNullFields": "false"})
+    return F.to_json(array_agg(c, order, keep), {"ignoreNullFields": "false"})
 
 
-def object_agg(k: Column, v: Column) -> Column:
-    return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k.cast("string"), v)))))
+def object_agg(k: Column, v: Column, keep: Column | None = None, last: bool = False) -> Column:
+    """An object of all pairs, by key. A repeated key stays in json_object_agg; jsonb_object_agg (last) keeps its largest value."""
+    pair = F.struct(F.coalesce(k.cast("string"), F.raise_error(F.lit("a key of a JSON object is null"))).alias("k"), v.alias("v"))
+    pairs = F.array_sort(F.collect_list(pair if keep is None else F.when(keep, pair)))
+    if last:
+        pairs = F.transform(F.filter(F.arrays_zip(pairs.alias("p"), F.slice(F.concat(pairs.getField("k"), F.array(F.lit(None).cast("string"))), 2, 2**31 - 1).alias("n")), lambda e: ~e["p"]["k"].eqNullSafe(e["n"])), lambda e: e["p"])
+    inner = F.transform(pairs, lambda e: F.concat(_scalar(e["k"]), F.lit(":"), _scalar(e["v"])))
+    return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}")))
 
 
 def _edit(kind: str, path, value):

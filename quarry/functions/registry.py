@@ -97,7 +97,7 @@ SCALARS = {
     "array_append": lambda c, v: F.array_append(c, F.lit(v)), "array_prepend": lambda v, c: F.array_prepend(c, F.lit(v)), "array_position": arrays.position, "array_positions": arrays.positions,
     "array_remove": lambda c, v: F.array_remove(c, v), "array_replace": arrays.replace, "array_union": F.array_union, "array_intersect": F.array_intersect, "array_except": F.array_except,
     "array_fill": arrays.fill, "array_ndims": arrays.ndims, "array_dims": arrays.dims, "unnest": F.explode,
-    "json_extract": jsonops.extract, "json_extract_text": jsonops.extract, "json_get": jsonops.extract, "json_extract_path": jsonops.extract, "json_extract_path_text": jsonops.extract, "jsonb_extract_path": jsonops.extract, "jsonb_extract_path_text": jsonops.extract,
+    "json_extract": jsonops.extract, "json_extract_text": jsonops.extract_text, "json_get": jsonops.extract, "json_extract_path": jsonops.extract, "json_extract_path_text": jsonops.extract_text, "jsonb_extract_path": jsonops.extract, "jsonb_extract_path_text": jsonops.extract_text,
     "json_typeof": jsonops.typeof, "jsonb_typeof": jsonops.typeof, "json_array_length": F.json_array_length, "jsonb_array_length": F.json_array_length,
     "json_build_object": jsonops.build_object, "jsonb_build_object": jsonops.build_object, "json_build_array": jsonops.build_array, "jsonb_build_array": jsonops.build_array,
     "json_set": jsonops.set_path, "jsonb_set": jsonops.set_path, "json_insert": jsonops.insert_path, "jsonb_insert": jsonops.insert_path, "json_remove": jsonops.remove_path, "jsonb_delete": jsonops.remove_path, "jsonb_delete_path": jsonops.remove_path,
@@ -108,10 +108,17 @@ SCALARS |= {"substring": SCALARS["substr"], "pow": F.pow, "ceiling": SCALARS["ce
 AGGREGATES = {
     "sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev, "variance": F.variance, "count_distinct": F.count_distinct, "bool_and": F.bool_and, "bool_or": F.bool_or,
     "array_agg": arrays.agg, "array_agg_distinct": lambda c: F.array_sort(F.collect_set(c)), "string_agg": arrays.string_agg, "json_agg": jsonops.agg, "jsonb_agg": jsonops.agg,
-    "json_object_agg": jsonops.object_agg, "jsonb_object_agg": jsonops.object_agg, "approx_count_distinct": F.approx_count_distinct, "median": F.median, "percentile": lambda c, p: F.percentile(c, p),
+    "json_object_agg": jsonops.object_agg, "jsonb_object_agg": lambda k, v: jsonops.object_agg(k, v, last=True), "approx_count_distinct": F.approx_count_distinct, "median": F.median, "percentile": lambda c, p: F.percentile(c, p),
     "first": F.first, "last": F.last, "corr": F.corr,
 }
 
+#: Aggregates with a condition that a NULL in place of a value would not leave out.
+FILTERED = {
+    "array_agg": lambda keep, c, order=None: arrays.agg(c, order, keep), "json_agg": lambda keep, c, order=None: jsonops.agg(c, order, keep), "jsonb_agg": lambda keep, c, order=None: jsonops.agg(c, order, keep),
+    "json_object_agg": lambda keep, k, v: jsonops.object_agg(k, v, keep), "jsonb_object_agg": lambda keep, k, v: jsonops.object_agg(k, v, keep, last=True),
+    "first": lambda keep, c: F.first(F.when(keep, F.struct(c.alias("v"))), ignorenulls=True)["v"], "last": lambda keep, c: F.last(F.when(keep, F.struct(c.alias("v"))), ignorenulls=True)["v"],
+}
+
 
 def call(name: str, args: list) -> Column:
     """A scalar by name; names that aren't registered go to Spark's own and registered functions."""

@@ -45,7 +45,7 @@ def apply(frame: DataFrame, alias: str, j, params: tuple, query) -> DataFrame:
     schema = domain.schemas.get(j.schema)
     at = lambda c: F.col(f"`{j.parent}__{c}`")
     own = lambda c: F.col(f"`{alias}__{c}`")
-    side = lambda: tables(schema.table).select(*schema.visible)
+    side = lambda: tables(schema.table).select(*schema.fields)  # noqa: E731  hidden keys too: names resolve to visible ones only
     o, kind = j.options, j.kind
     how = {"inner": "inner", "right": "right", "full": "full"}.get(o.get("join_type", kind), "left")
 
@@ -137,8 +137,9 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_
     from pyspark.sql import Window
 
     packed = F.struct(*[F.col(c).alias(c) for c in columns])
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in by], F.col("_t").isNotNull())
     a = left.select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct("*").alias("_row"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_got"))
     b = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), packed.alias("_got"))
     w = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = a.unionByName(b).withColumn("_got", F.last("_got", ignorenulls=True).over(w)).where("_side = 1")
-    return out.select("_row.*", *[F.when(F.col("_t").isNotNull(), F.col(f"_got.{c}")).alias(f"asof_{c}" if c in left.columns else c) for c in columns])
+    return out.select("_row.*", *[F.when(known, F.col(f"_got.{c}")).alias(f"asof_{c}" if c in left.columns else c) for c in columns])

@@ -74,6 +74,7 @@ class Domain:
     custom_columns: Mapping = field(default_factory=dict)
     filters: Mapping = field(default_factory=dict)
     data: object = None
+    loose: bool = False  # a bare name that one join alone has is that join's field
 
     @staticmethod
     def of(d: Mapping, validate: bool = True) -> Domain:
@@ -114,7 +115,16 @@ class Domain:
         return Domain.of({"name": source, "source": one(source), "schemas": {t: one(t) for t in tables}, "joins": joins or {}, **more})
 
     def reroot(self, schema: str) -> Domain:
-        return replace(self, name=schema, source=self.schemas[schema], joins={}, required_filters=(), default_selected=(), required_selected=(), required_order_by=(), required_group_by=(), custom_columns={})
+        """A domain on another schema. Its associations are its joins, and theirs those below, each schema once on a way."""
+        joins: dict[str, Join] = {}
+        todo = deque([(self.schemas[schema], "root", {schema})])
+        while todo:
+            owner, parent, seen = todo.popleft()
+            for a in owner.associations.values():
+                if a.name not in joins and a.queryable not in seen:
+                    joins[a.name] = Join(a.name, "left", parent, a.queryable, a.owner_key, a.related_key)
+                    todo.append((self.schemas[a.queryable], a.name, {*seen, a.queryable}))
+        return replace(self, name=schema, loose=True, source=self.schemas[schema], joins=joins, required_filters=(), default_selected=(), required_selected=(), required_order_by=(), required_group_by=(), custom_columns={})
 
     def path(self, target: str, start: TableSchema | None = None) -> list[Association]:
         """The shortest chain of associations from the source to a schema (or association) name; ties by declaration."""
@@ -130,6 +140,16 @@ class Domain:
         raise ValidationError(f"no path from {self.source.table} to {target!r}")
 
 
+class Declared:
+    """A domain that is checked when its class is made: class Shop(Declared): source = {...}; schemas = {...}; joins = {...}."""
+
+    domain: Domain
+
+    def __init_subclass__(cls, **kwargs):
+        super().__init_subclass__(**kwargs)
+        cls.domain = Domain.of({"name": cls.__name__.lower(), **{k: v for k, v in vars(cls).items() if not k.startswith("_") and k != "domain"}})
+
+
 def _flatten(tree, schema, parent, schemas, out):
     for jid, opts in tree.items():
         opts = dict(opts or {})

@@ -3,7 +3,9 @@
 Selectors: "field"; a number, bool or date; a Column; ("literal", v); ("field", sel, alias);
 ("case", [(predicate, sel), ...], else); ("case_of", sel, {value: result}, else); ("decode", sel, [(m, r)]);
 ("iif", predicate, a, b); ("custom_sql", "... {{x}} ...", {"x": "field"}); ("subquery", DataFrame or SQL);
-("percent_of_total", agg, [dims]); ("func", name, [args]); (name, args...); (aggregate, sel, predicate).
+("percent_of_total", agg, [dims]); ("func", name, [args]); (name, args...); (aggregate, sel, predicate);
+("qualified_field", "join.field"); ("disambiguated_field", "field", join); ("array", name, [fields]), an
+aggregate; ("case", field, {value: result, "else": result}).
 
 Predicates: (field, value), (field, None), (field, [values]), (field, (op, value)), ("and"|"or", [..]), ("not", p),
 ("exists", q), (field, op, ("any"|"all", q)), (field, ("in", q)). q: a DataFrame, Query or SQL text.
@@ -38,6 +40,10 @@ def is_aggregate(sel) -> bool:
             return True
         if head == "func":
             return sel[1].lower() == "count" or sel[1].lower() in R.AGGREGATES or any(map(is_aggregate, sel[2]))
+        if head == "array" and is_named_array(sel):
+            return True
+        if head == "case" and isinstance(sel[1], str):
+            return False
         if head == "case":
             return any(is_aggregate(v) for _, v in sel[1]) or (len(sel) > 2 and is_aggregate(sel[2]))
         if head == "literal":
@@ -46,6 +52,19 @@ def is_aggregate(sel) -> bool:
     return False
 
 
+def is_named_array(sel) -> bool:
+    return len(sel) == 3 and isinstance(sel[1], str) and isinstance(sel[2], list)
+
+
+def on_aggregate(p) -> bool:
+    """Whether a predicate compares an aggregate, so that it holds after grouping."""
+    if not isinstance(p, (list, tuple)) or not p:
+        return False
+    if p[0] in ("and", "or"):
+        return any(map(on_aggregate, p[1]))
+    return on_aggregate(p[1]) if p[0] == "not" else is_aggregate(p[0])
+
+
 def is_predicate(p) -> bool:
     return isinstance(p, (list, tuple)) and len(p) in (2, 3) and isinstance(p[0], (str, tuple))
 
@@ -61,6 +80,10 @@ def label(sel) -> str:
             return "_".join([sel[1].lower(), *[label(a) for a in sel[2] if isinstance(a, (str, tuple)) and a != "*"]])
         if sel[0] == "literal":
             return str(sel[1])
+        if sel[0] == "array" and is_named_array(sel) or sel[0] == "case" and isinstance(sel[1], str):
+            return sel[1]
+        if sel[0] in ("qualified_field", "disambiguated_field"):
+            return label(sel[1])
         return "_".join([sel[0], *[label(a) for a in sel[1:2] if isinstance(a, (str, tuple)) and a != "*"]])
     return str(sel)
 
@@ -101,18 +124,28 @@ class Exprs:
             return self.sel(args[0])
         if low in ("literal", "literal_string"):
             return F.lit(args[0])
+        if low == "qualified_field":
+            return self.field(args[0])
+        if low == "disambiguated_field":
+            return self.field(f"{args[1]}.{args[0]}")
+        if low == "array" and is_named_array(s):
+            return R.AGGREGATES["array_agg"](self.sel(args[1][0]) if len(args[1]) == 1 else self.sel(("row", *args[1])))
+        if low == "row":
+            return F.struct(*[self.sel(a).alias(n) for a, n in zip(args, distinct([label(a) for a in args]), strict=True)])
+        if low == "case" and isinstance(args[0], str):
+            return self._case([(self.sel(args[0]) == F.lit(m), self._result(r)) for m, r in args[1].items() if m != "else"], args[1].get("else"), plain=True)
         if low == "func":
             name, given = args[0], list(args[1])
             if given and given[0] == "DISTINCT":
                 return F.count_distinct(*[self.sel(a) for a in given[1:]]) if name.lower() == "count" else self.sel((f"{name.lower()}_distinct", *given[1:]))
             return self.sel((name, *given))
         if low == "case":
-            return self._case([(self.pred(p), self.sel(v)) for p, v in args[0]], args[1] if len(args) > 1 else None)
+            return self._case([(self.whole(p), self.sel(v)) for p, v in args[0]], args[1] if len(args) > 1 else None)
         if low in ("case_of", "decode"):
             c, pairs = self.sel(args[0]), args[1].items() if isinstance(args[1], dict) else args[1]
             return self._case([(c == F.lit(m), self._result(r)) for m, r in pairs], args[2] if len(args) > 2 else None, plain=True)
         if low == "iif":
-            return F.when(self.pred(args[0]), self.sel(args[1])).otherwise(self.sel(args[2]))
+            return F.when(self.whole(args[0]), self.sel(args[1])).otherwise(self.sel(args[2]))
         if low == "custom_sql":
             return self.sql(args[0], args[1] if len(args) > 1 else {})
         if low == "subquery":
@@ -130,7 +163,9 @@ class Exprs:
             cols = [self.sel(a) if i not in R.VALUES_AT.get(low, ()) else a for i, a in enumerate(args)]
             if cond is None:
                 return R.AGGREGATES[low](*cols)
-            keep = self.pred(cond)
+            keep = self.whole(cond)
+            if low in R.FILTERED:
+                return R.FILTERED[low](keep, *cols)
             return R.AGGREGATES[low](F.when(keep, cols[0]), *cols[1:])
         at = R.VALUES_AT.get(low, ())
         cols = [a[1] if i in at and isinstance(a, tuple) and a and a[0] == "literal" else a if i in at else self.sel(a) for i, a in enumerate(args)]
@@ -144,7 +179,7 @@ class Exprs:
             return F.count_distinct(*[self.sel(a) for a in args[1:]])
         else:
             c = self.sel(what)
-        return F.count(F.when(self.pred(args[1]), c)) if len(args) > 1 else F.count(c)
+        return F.count(F.when(self.whole(args[1]), c)) if len(args) > 1 else F.count(c)
 
     def _result(self, r):
         return r if isinstance(r, Column) else F.lit(r)
@@ -164,6 +199,11 @@ class Exprs:
         cols = [c for c in (self.pred(p) for p in preds) if c is not None]
         return reduce(lambda a, b: a & b, cols) if cols else None
 
+    def whole(self, p) -> Column:
+        """A predicate; one without conditions holds."""
+        c = self.pred(p)
+        return F.lit(True) if c is None else c
+
     def pred(self, p) -> Column | None:
         if isinstance(p, Column):
             return p
@@ -243,20 +283,37 @@ class Exprs:
     def quantified(self, c: Column, op: str, how: str, q: DataFrame) -> Column:
         """x op ANY/ALL (subquery) by the subquery's extremes, with SQL's treatment of NULL."""
         name, op = q.columns[0], OPS[op]
-        one = lambda a: q.agg(a.alias("v")).scalar()
-        n, lo, hi = one(F.count(F.lit(1))), one(F.min(name)), one(F.max(name))
-        nulls = n > one(F.count(name))
-        if how == "any":
-            if op == "eq":
-                return c.isin(q)
-            yes = (c != lo) | (c != hi) if op == "ne" else COMPARE[op](c, lo if op in ("gt", "ge") else hi)
-            return F.when(n == 0, F.lit(False)).when(yes, F.lit(True)).when(c.isNull() | nulls, F.lit(None).cast("boolean")).otherwise(F.lit(False))
-        if how != "all":
-            raise ValidationError(f"any or all, not {how!r}")
-        if op == "ne":
+        facts = q.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(name).alias("m"), F.min(name).alias("lo"), F.max(name).alias("hi")).alias("v")).scalar()
+        if how == "any" and op == "eq":
+            return c.isin(q)
+        if how == "all" and op == "ne":
             return ~c.isin(q)
-        no = ~((c == lo) & (c == hi)) if op == "eq" else ~COMPARE[op](c, hi if op in ("gt", "ge") else lo)
-        return F.when(n == 0, F.lit(True)).when(no, F.lit(False)).when(c.isNull() | nulls, F.lit(None).cast("boolean")).otherwise(F.lit(True))
+        return extremes(c, op, how, *(facts.getField(k) for k in ("n", "m", "lo", "hi")))
+
+
+def extremes(c: Column, op: str, how: str, n: Column, m: Column, lo: Column, hi: Column) -> Column:
+    """x op ANY/ALL (a set) by the set's size, its values that aren't NULL, the smallest and the largest."""
+    nulls = n > m
+    if how == "any":
+        if op == "eq":
+            raise ValidationError("= any needs the values themselves")
+        yes = (c != lo) | (c != hi) if op == "ne" else COMPARE[op](c, lo if op in ("gt", "ge") else hi)
+        return F.when(n == 0, F.lit(False)).when(yes, F.lit(True)).when(c.isNull() | nulls, F.lit(None).cast("boolean")).otherwise(F.lit(False))
+    if how != "all":
+        raise ValidationError(f"any or all, not {how!r}")
+    if op == "ne":
+        raise ValidationError("<> all needs the values themselves")
+    no = ~((c == lo) & (c == hi)) if op == "eq" else ~COMPARE[op](c, hi if op in ("gt", "ge") else lo)
+    return F.when(n == 0, F.lit(True)).when(no, F.lit(False)).when(c.isNull() | nulls, F.lit(None).cast("boolean")).otherwise(F.lit(True))
+
+
+def distinct(names: list[str]) -> list[str]:
+    out: list[str] = []
+    for n in names:
+        while n in out:
+            n += "_1"
+        out.append(n)
+    return out
 
 
 def is_selector(p) -> bool:

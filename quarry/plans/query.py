@@ -1,4 +1,5 @@
 """The query builder. Each call gives a new Query; df() lowers it to one DataFrame and runs nothing.
+(A recursive frame is the one thing that runs, level by level, when it is added.)
 
 Order of lowering: source, inferred joins, frames, laterals, unnests, filters, subfilters, groups, having,
 windows, nesting, projection, order, offset and limit. Only joins that some clause refers to are made.
@@ -7,6 +8,7 @@ windows, nesting, projection, order, offset and limit. Only joins that some clau
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +19,7 @@ from ..operators import joins, related, tagging
 from ..operators.windows import DIRECTIONS, window
 from ..sources.tables import IDENTIFIER, Tables, values
 from .domain import Domain
-from .exprs import Exprs, is_aggregate, label
+from .exprs import Exprs, is_aggregate, label, on_aggregate
 from .resolve import Scope
 
 
@@ -45,9 +47,15 @@ class Query:
     skip: int = 0
     unique: bool = False
     scope: object = field(default=None, compare=False)
+    united: bool = False  # made by a set operation
+    before: object = field(default=None, compare=False)  # the query that was pivoted
 
     # ---- building
 
+    def _single(self, what):
+        if self.united:
+            raise ValidationError(f"{what} can't follow a set operation; use derived(query.df())")
+
     def _add(self, name, items):
         return replace(self, **{name: (*getattr(self, name), *items)})
 
@@ -55,10 +63,13 @@ class Query:
         return replace(self, selected=uniq([*self.selected, *sels]))
 
     def filter(self, *preds) -> Query:
-        return self._add("filtered", preds)
+        """Conditions on rows; one on an aggregate goes to having."""
+        rows = [p for p in preds if not on_aggregate(p)]
+        return self._add("filtered", rows)._add("kept", [p for p in preds if on_aggregate(p)])
 
     def group_by(self, *sels, kind: str = "group") -> Query:
-        """kind: group, rollup, cube, or sets (each selector then a tuple of selectors)."""
+        """kind: group, rollup, cube, or sets (each selector then a tuple of selectors). ("literal_position", n): the nth selected."""
+        self._single("a grouping")
         return replace(self._add("grouped", sels), group_kind=kind if kind != "group" else self.group_kind)
 
     def having(self, *preds) -> Query:
@@ -83,16 +94,39 @@ class Query:
     def window(self, name: str, *args, over=(), order=(), frame=None, as_: str | None = None) -> Query:
         return self._add("windows", [(name, args, tuple(over), tuple(order), frame, as_ or name)])
 
-    def subselect(self, target: str, fields: list[str], format: str = "json_agg", as_: str | None = None, separator: str = ",", filters: dict | None = None, order_by: list[str] | None = None) -> Query:
+    def subselect(self, target: str, fields: list[str] | None = None, format: str = "json_agg", as_: str | None = None, separator: str = ",", filters: dict | None = None, order_by: list[str] | None = None, alias_prefix: str = "") -> Query:
+        """target: an association path; without fields a text "path[f1, f2]" or "path.f"."""
+        self._single("a subselect")
+        if fields is None:
+            m = re.fullmatch(r"\s*([\w.]+?)\s*(?:\[([^\]]+)\]|\.(\w+))\s*", target)
+            if not m:
+                raise ValidationError(f"bad subselect {target!r}")
+            target, fields = m[1], [f.strip() for f in (m[2] or m[3]).split(",")]
+        as_ = as_ or alias_prefix + target.replace(".", "_")
         return self._add("nested", [{"target": target, "fields": fields, "format": format, "as": as_ or target.replace(".", "_"), "separator": separator, "filters": filters, "order_by": order_by}])
 
-    def subfilter(self, path: str, test, negate: bool = False) -> Query:
-        return self._add("subfilters", [("and", [(path, test, negate)])])
+    def subselects(self, specs, **options) -> Query:
+        """Several: texts as for subselect(), or dicts of its arguments."""
+        out = self
+        for s in specs:
+            out = out.subselect(s, **options) if isinstance(s, str) else out.subselect(**{**options, **s})
+        return out
+
+    def subfilter(self, path: str, test, negate: bool = False, strategy: str | None = None) -> Query:
+        """Rows with a related row that passes test. ("any"|"all", op, own field): that field op ANY/ALL (the related values).
+
+        strategy: exists, in, join, aggregation, any or all, else by the test. With in, negate is SQL's NOT IN: a
+        related null, or a null key of the row itself, leaves the row out.
+        """
+        return self._add("subfilters", [("and", [(path, test, negate, related.strategy_of(test, strategy))])])
 
     def subfilter_any(self, *specs) -> Query:
         """Rows that pass one of (path, test[, negate])."""
         return self._add("subfilters", [("or", [(*s, False)[:3] for s in specs])])
 
+    def validate_fields(self, *fields) -> dict:
+        return Scope(self.domain, self._frame_columns()).validate(fields)
+
     def tag_facet(self, join: str, wanted: list, mode: str = "any") -> Query:
         return self._add("facets", [(join, wanted, mode)])
 
@@ -112,6 +146,8 @@ class Query:
         """A named frame: a DataFrame, Query, or function of the frames so far (by name)."""
         if not IDENTIFIER.match(name) or any(name == n for n, _ in self.frames):
             raise ValidationError(f"bad or repeated name {name!r}")
+        if callable(build) and not isinstance(build, (DataFrame, Query)):
+            takes(build, 1, name)
         got = build(dict(self.frames)) if callable(build) and not isinstance(build, (DataFrame, Query)) else build
         got = got.df() if isinstance(got, Query) else got
         return self._add("frames", [(name, got.toDF(*columns) if columns else got)])
@@ -129,6 +165,7 @@ class Query:
         return out
 
     def with_recursive_cte(self, name: str, base, step, max_depth: int | None = None, columns: list[str] | None = None) -> Query:
+        takes(step, 1, name)
         return self.with_cte(name, recursive(base(dict(self.frames)) if callable(base) and not isinstance(base, DataFrame) else base, step, max_depth), columns)
 
     def with_values(self, rows, columns=None, as_: str = "v", schema=None) -> Query:
@@ -160,7 +197,7 @@ class Query:
             out = a.intersectAll(b) if all_ else a.intersect(b)
         else:
             out = a.exceptAll(b) if all_ else a.subtract(b)
-        return self.derived(out, how)
+        return replace(self.derived(out, how), united=True)
 
     def union(self, other, all: bool = False, mapping=None) -> Query:
         return self._setop(other, "union", all, mapping)
@@ -175,6 +212,7 @@ class Query:
         """A query on target: its rows that the rows of this query lead to. in and exists: each once (a semi-join)."""
         if strategy not in ("in", "exists", "join"):
             raise ValidationError(f"unknown strategy {strategy!r}")
+        self._single("a pivot")
         path = self.domain.path(target)
         src = replace(self, selected=(), grouped=(), ordered=(), windows=(), nested=(), filtered=self.filtered if preserve_filters else (), subfilters=self.subfilters if preserve_filters else ())
         rows = src._rows(Scope(src.domain, src._frame_columns()), required=preserve_filters)[0]
@@ -182,15 +220,23 @@ class Query:
         schema = self.domain.schemas[path[-1].queryable]
         on = F.col(f"`root__{path[0].owner_key}`") == F.col(key)
         if strategy == "join":
-            base = rows.join(chain, on).select(*[F.col(f"{last}__{c}").alias(c) for c in schema.visible])
+            base = rows.join(chain, on).select(*[F.col(f"{last}__{c}").alias(c) for c in schema.fields])
         else:
             keys = chain.join(rows.select(f"`root__{path[0].owner_key}`"), on, "left_semi") if len(path) > 1 else None
-            table = self.tables(schema.table).select(*schema.visible)
+            table = self.tables(schema.table).select(*schema.fields)
             if keys is None:
                 base = table.join(rows.select(F.col(f"`root__{path[0].owner_key}`").alias("_k")), F.col(path[0].related_key) == F.col("_k"), "left_semi")
             else:
                 base = table.join(keys.select(F.col(f"{last}__{schema.primary_key}").alias("_k")), F.col(schema.primary_key) == F.col("_k"), "left_semi")
-        return Query(self.spark, self.domain.reroot(path[-1].queryable), self.tables, base=base)
+        return Query(self.spark, self.domain.reroot(path[-1].queryable), self.tables, base=base, before=self)
+
+    @property
+    def has_pivot(self) -> bool:
+        return self.before is not None
+
+    def reset_pivot(self) -> Query:
+        """The query before its last pivot."""
+        return self if self.before is None else self.before
 
     # ---- lowering
 
@@ -230,7 +276,7 @@ class Query:
             scope.domain.joins[j]
         schema = self.domain.source
         df = self.base if self.base is not None else self.tables(schema.table)
-        df = joins.renamed(df, "root", schema.visible)
+        df = joins.renamed(df, "root", schema.fields)
         for alias, (j, params) in scope.needed.items():
             df = joins.apply(df, alias, j, params, held)
         for name, c, how in on:
@@ -263,8 +309,10 @@ class Query:
         scope = Scope(self.domain, self._frame_columns())
         default = () if self.windows or self.nested or self.grouped else self.domain.default_selected or self.domain.source.visible
         chosen = list(uniq([*self.domain.required_selected, *(self.selected or default)]))
-        groups = [*self.domain.required_group_by, *self.grouped]
-        ordered = [*self.domain.required_order_by, *self.ordered]
+        groups = [self._placed(g, chosen) for g in (*self.domain.required_group_by, *self.grouped)]
+        if self.group_kind == "group":
+            groups += [k for g in groups if (k := self._dimension_key(g)) and k not in groups]
+        ordered = [self._placed(o, chosen) for o in (*self.domain.required_order_by, *self.ordered)]
         names = []
         for s in chosen:
             n = self._name(s)
@@ -274,6 +322,23 @@ class Query:
         grouped = bool(groups) or any(is_aggregate(s) for s in chosen)
         return self._grouped(scope, chosen, names, groups, ordered) if grouped else self._plain(scope, chosen, names, ordered)
 
+    def _placed(self, s, chosen):
+        """("literal_position", n) is the nth selector."""
+        if isinstance(s, tuple) and len(s) == 2 and s[0] == "literal_position":
+            if not 1 <= s[1] <= len(chosen):
+                raise ValidationError(f"there is no selector {s[1]}")
+            s = chosen[s[1] - 1]
+            return s[1] if isinstance(s, tuple) and s[0] == "field" else s
+        if isinstance(s, tuple) and any(isinstance(x, tuple) and x and x[0] == "literal_position" for x in s):
+            return tuple(self._placed(x, chosen) for x in s)
+        return s
+
+    def _dimension_key(self, g):
+        """A dimension's value is grouped by with its key, as values may repeat."""
+        jid, _, f = g.rpartition(".") if isinstance(g, str) else ("", "", "")
+        j = self.domain.joins.get(jid)
+        return f"{jid}.{j.related_key}" if j and j.kind == "dimension" and f == j.options["dimension"] else None
+
     def _name(self, s):
         return s._jc.toString() if isinstance(s, Column) and hasattr(s, "_jc") else label(s)
 
@@ -369,6 +434,9 @@ class Query:
 
     def _finish(self, df, ordered, later, names):
         if self.unique:
+            shown = {self._same(s) for s in self.selected} | {*names} | {repr(n) for n in names}
+            if bad := [o for o in ordered if o not in later and self._same(self._order_field(o)[0]) not in shown]:
+                raise ValidationError(f"a distinct query is ordered by what it selects, not by {bad}")
             df = df.distinct()
         if ordered:
             df = df.orderBy(*[DIRECTIONS[self._order_field(o)[1]](F.col(f"`{self._order_field(o)[0]}`" if o in later else f"_o{i}")) for i, o in enumerate(ordered)])
@@ -381,10 +449,10 @@ class Query:
     # ---- running
 
     def rows(self) -> list:
-        return self.df().collect()
+        return guarded(lambda: self.df().collect())
 
     def one(self):
-        got = self.df().limit(2).collect()
+        got = guarded(lambda: self.df().limit(2).collect())
         if not got:
             raise NoResults("no rows")
         if len(got) > 1:
@@ -397,6 +465,33 @@ class Query:
         return {"page": page, "per_page": per_page, "total": total, "pages": pages, "has_next": page < pages, "has_previous": page > 1}
 
 
+def guarded(run):
+    """Spark's errors as this package's: QueryError, or Timeout or ConnectionFailed where their text says so."""
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JError
+
+    from ..errors import ConnectionFailed, Timeout
+
+    try:
+        return run()
+    except (PySparkException, Py4JError) as e:
+        text = str(e)
+        kind = Timeout if "TimeoutException" in text or "timed out" in text else ConnectionFailed if "Connection refused" in text else QueryError
+        raise kind(text.split("\n")[0], cause=type(e).__name__) from e
+    except OSError as e:
+        raise ConnectionFailed(str(e)) from e
+
+
+def takes(f, n: int, name: str) -> None:
+    """An error if f can't be called with n arguments."""
+    import inspect
+
+    try:
+        inspect.signature(f).bind(*[None] * n)
+    except TypeError:
+        raise ValidationError(f"the function of frame {name!r} must take {n} argument") from None
+
+
 def uniq(items) -> tuple:
     """Items without repeats, in order; selectors may hold Columns, so they are told apart by their text."""
     out: dict = {}

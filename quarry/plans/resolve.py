@@ -28,7 +28,11 @@ class Scope:
         j = self.domain.joins[jid]
         if j.parent != "root":
             self.require(j.parent)
-        alias = jid if not params else f"{jid}_{'_'.join(re.sub(r'\W', '_', str(p)) for p in params)}"
+        if not params:
+            self.needed.setdefault(jid, (j, params))
+            return jid
+        same = [a for a, (k, p) in self.needed.items() if k.id == jid and p == params]
+        alias = same[0] if same else f"{jid}__p{sum(k.id == jid for k, _ in self.needed.values()) + 1}"
         self.needed.setdefault(alias, (j, params))
         return alias
 
@@ -46,6 +50,17 @@ class Scope:
             base = (j.options["dimension"], j.related_key)
         return [*base, *extra_fields(j)]
 
+    def validate(self, fields) -> dict:
+        """{"valid": fields that resolve, "errors": {field: message}, "suggestions": {field: names}}."""
+        out: dict = {"valid": [], "errors": {}, "suggestions": {}}
+        for f in fields:
+            try:
+                self.column(f)
+                out["valid"].append(f)
+            except (FieldResolutionError, ValidationError) as e:
+                out["errors"][f], out["suggestions"][f] = str(e), self.suggest(f)
+        return out
+
     def suggest(self, f: str) -> list[str]:
         every = self.fields()
         tail = f.split(".")[-1].lower()
@@ -57,7 +72,11 @@ class Scope:
     def column(self, f: str) -> str:
         raw = f
         if m := BRACKET.match(f):
-            f = f"{re.findall(r'\w+', m[1])[-1]}.{m[2]}"
+            chain = re.findall(r"\w+", m[1])
+            for up, jid in zip(chain, chain[1:], strict=False):
+                if jid in self.domain.joins and self.domain.joins[jid].parent != up:
+                    raise FieldResolutionError(f"in {raw!r} join {jid!r} hangs on {self.domain.joins[jid].parent!r}, not on {up!r}")
+            f = f"{chain[-1]}.{m[2]}"
         left, _, right = f.rpartition(".")
         src = self.domain.source
         if not left or left in (src.table, "root"):
@@ -67,7 +86,7 @@ class Scope:
                 found = [f"{a}.{right}" for a, cols in self.frames.items() if right in cols]
                 if not found:
                     found = [f"{j.id}.{right}" for j in self.domain.joins.values() if right in self._join_fields(j)]
-                if len(found) == 1 and found[0].split(".")[0] in self.frames:
+                if len(found) == 1 and (found[0].split(".")[0] in self.frames or self.domain.loose):
                     return self.column(found[0])
                 if len(found) > 1:
                     raise FieldResolutionError(f"field {raw!r} is ambiguous: {', '.join(found)}", options=found)

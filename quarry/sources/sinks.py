@@ -104,19 +104,48 @@ TYPES = {
 }
 
 
-def coerce(df: DataFrame, types: dict, mode: str = "safe") -> DataFrame:
-    """Columns cast to logical types. strict: a bad value raises; safe: it becomes null; ignore: as it is; or a callable Column -> Column as the type."""
+#: What the text of a value of unknown type may look like, the narrowest first.
+LOOKS = [
+    ("integer", r"^[+-]?\d{1,18}$"), ("decimal", r"^[+-]?\d*\.\d+$|^[+-]?\d+$"), ("boolean", r"^(?i:true|false|t|f|yes|no)$"), ("date", r"^\d{4}-\d{2}-\d{2}$"),
+    ("utc_datetime", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"),
+]
+
+
+def detect(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The logical type that all values of each text column look like (one aggregation over all rows); else string."""
+    counts = [F.count_if(F.trim(c).rlike(p)).alias(f"{i}_{k}") for i, c in enumerate(columns) for k, (_, p) in enumerate(LOOKS)]
+    got = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)], *counts).first()
+    fits = lambda i: [kind for k, (kind, _) in enumerate(LOOKS) if got[f"{i}_{k}"] == got[f"n_{i}"]]
+    return {c: (fits(i) or ["string"])[0] if got[f"n_{i}"] else "string" for i, c in enumerate(columns)}
+
+
+def coerce(df: DataFrame, types: dict, mode: str = "safe", custom=None) -> DataFrame:
+    """Columns cast to logical types; "auto" is the type that detect() finds.
+
+    strict: a bad value raises; safe: it becomes null; ignore: as it is; custom: custom(Column) or
+    custom(Column, type) makes the column. A callable as a type makes its own column in any mode.
+    """
+    import inspect
+
+    if mode not in ("strict", "safe", "ignore", "custom") or (mode == "custom") != (custom is not None):
+        raise TransformationError(f"bad coercion mode {mode!r}")
+    if auto := [c for c, kind in types.items() if kind == "auto"]:
+        types = {**types, **detect(df, auto)}
     out = {}
     for c, kind in types.items():
         if callable(kind):
             out[c] = kind(F.col(c))
+        elif mode == "custom":
+            out[c] = custom(F.col(c), kind) if len(inspect.signature(custom).parameters) > 1 else custom(F.col(c))
         elif mode != "ignore":
-            target = TYPES.get(kind, kind)
-            col = F.col(c)
-            if target == "boolean" and df.schema[c].dataType.simpleString() == "string":
-                low = F.lower(F.trim(col))
-                good = F.when(low.isin("true", "t", "yes", "y", "1", "on"), True).when(low.isin("false", "f", "no", "n", "0", "off"), False)
-                out[c] = good if mode == "safe" else good.otherwise(F.when(col.isNotNull(), F.raise_error(F.concat(F.lit("not a boolean: "), col))))
-            else:
-                out[c] = col.cast(target) if mode == "strict" else col.try_cast(target)
+            out[c] = cast(df, c, kind, mode)
     return df.withColumns(out)
+
+
+def cast(df: DataFrame, c: str, kind: str, mode: str):
+    target, col = TYPES.get(kind, kind), F.col(c)
+    if target == "boolean" and df.schema[c].dataType.simpleString() == "string":
+        low = F.lower(F.trim(col))
+        good = F.when(low.isin("true", "t", "yes", "y", "1", "on"), True).when(low.isin("false", "f", "no", "n", "0", "off"), False)
+        return good if mode == "safe" else good.otherwise(F.when(col.isNotNull(), F.raise_error(F.concat(F.lit("not a boolean: "), col))))
+    return col.cast(target) if mode == "strict" else col.try_cast(target)

@@ -68,7 +68,7 @@ def series(spark: SparkSession, start: int, stop: int, step: int = 1, name: str
     return spark.range(start, stop + (1 if step > 0 else -1), step).toDF(name)
 
 
-def options(provider: dict, tables: Tables, search: str | None = None, limit: int = 100) -> DataFrame:
+def options(provider: dict, tables: Tables, search: str | None = None, limit: int | None = 100) -> DataFrame:
     """(value, label) pairs of a static, enum, table or query provider."""
     kind = provider.get("type")
     if kind in ("static", "enum"):
@@ -84,4 +84,4 @@ def options(provider: dict, tables: Tables, search: str | None = None, limit: in
         raise ValidationError(f"unknown option provider {kind!r}")
     if search:
         df = df.where(F.col("label").contains(search))
-    return df.orderBy("label", "value").limit(limit)
+    return df if limit is None else df.orderBy("label", "value").limit(limit)
