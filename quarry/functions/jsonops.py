@@ -128,7 +128,8 @@ def object_agg(k: Column, v: Column, keep: Column | None = None, last: bool = Fa
     pair = F.struct(F.coalesce(k.cast("string"), F.raise_error(F.lit("a key of a JSON object is null"))).alias("k"), v.alias("v"))
     pairs = F.array_sort(F.collect_list(pair if keep is None else F.when(keep, pair)))
     if last:
-        pairs = F.transform(F.filter(F.arrays_zip(pairs.alias("p"), F.slice(F.concat(pairs.getField("k"), F.array(F.lit(None).cast("string"))), 2, 2**31 - 1).alias("n")), lambda e: ~e["p"]["k"].eqNullSafe(e["n"])), lambda e: e["p"])
+        after = F.slice(F.concat(F.transform(pairs, lambda e: e["k"]), F.array(F.lit(None).cast("string"))), F.lit(2), F.size(pairs))
+        pairs = F.array_compact(F.zip_with(pairs, after, lambda e, n: F.when(~e["k"].eqNullSafe(n), e)))
     inner = F.transform(pairs, lambda e: F.concat(_scalar(e["k"]), F.lit(":"), _scalar(e["v"])))
     return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}")))
 

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quarry.errors import ConfigurationError, FieldResolutionError, MultipleResults, NoResults, QueryError, ValidationError
+from quarry.errors import ConfigurationError, FieldResolutionError, MultipleResults, NoResults, QueryError, TransformationError, ValidationError
 from quarry.functions import jsonops
 from quarry.functions.dates import date_range
 from quarry.operators.hierarchy import adjacency
@@ -231,3 +231,111 @@ def test_entry_without_the_training_data_operators(monkeypatch):
 
     assert entry._llm is None and len(entry.queries()) > 100 and set(entry.oracle_sql()) <= set(entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_distinct_is_ordered_by_what_it_selects(shop):
+    assert [r.name for r in shop.select("name").distinct().order_by(("desc_nulls_last", "name")).rows()] == ["Cy", "Bob", "Ann", None]
+    with pytest.raises(ValidationError):
+        shop.select("name").distinct().order_by("id").df()
+
+
+def test_subfilters_by_any_all_and_not_in(shop):
+    ids = lambda q: [x for (x,) in got(q.select("id"))]
+    # person 1 has sales of 5 and null, 2 of 7.5; 3 and 4 none
+    assert ids(shop.subfilter("sales.amount", ("any", "<", "id"))) == [1, 2]
+    assert ids(shop.subfilter("sales.amount", ("any", "<", ("literal", 6)))) == [2]
+    assert ids(shop.subfilter("sales.amount", ("all", "<", ("literal", 6)))) == [2, 3, 4]
+    assert ids(shop.subfilter("sales.amount", ("all", ">", ("literal", 6)), negate=True)) == [2]
+    assert ids(shop.subfilter("sales.amount", ("any", "=", ("literal", 5.0)))) == [1]
+    assert ids(shop.subfilter("sales.amount", ("all", "!=", ("literal", 6.0)))) == [2, 3, 4]
+    assert ids(shop.subfilter("city.city", ["Rome"], negate=True)) == [2]  # a null city is unknown
+    assert ids(shop.subfilter("city.city", ["Paris"], negate=True)) == [1, 2, 3, 4]
+    assert ids(shop.subfilter("city.city", ["Rome"], negate=True, strategy="exists")) == [2, 3]
+    avg = ("sales.amount", ("avg", ">", 6), True)
+    assert ids(shop.subfilter(*avg)) == ids(shop.subfilter_any(avg)) == [1]  # without sales the average is unknown
+    for test, strategy in ((("count", ">", 1), "in"), (["x"], "any"), ("x", "fast")):
+        with pytest.raises(ValidationError):
+            shop.subfilter("sales.amount", test, strategy=strategy)
+
+
+def test_subfilter_sets(shop):
+    from quarry.operators.related import Subfilters
+
+    s = Subfilters().add("a", "sales.amount", (">", 6)).add("b", "city.city", "Rome").add("c", "sales", ("count", ">", 5)).remove("c").add_compound("or", ["a", "b"])
+    assert got(s.apply(shop.select("id"))) == [(1,), (2,), (4,)]
+    report = s.add("d", "city.city", "Rome").analyze(shop.domain)
+    assert report["subfilters"] == 3 and report["joins"] == 3 and report["level"] == "moderate" and "d repeats b" in report["suggestions"]
+    with pytest.raises(ValidationError):
+        s.add("a", "city.city", "Oslo")
+    with pytest.raises(ValidationError):
+        s.remove("zz")
+
+
+def test_set_queries_and_builders_are_checked(shop):
+    both = shop.select("id").union(shop.select("id"))
+    for bad in (lambda: both.group_by("id"), lambda: both.pivot("sales"), lambda: both.subselect("sales.id")):
+        with pytest.raises(ValidationError):
+            bad()
+    with pytest.raises(ValidationError):
+        shop.with_cte("x", lambda: None)
+    with pytest.raises(ValidationError):
+        shop.with_recursive_cte("x", shop.select("id").df(), lambda a, b: a)
+
+
+def test_pivot_keeps_joins_and_can_be_reset(shop):
+    p = shop.filter(("city.city", "Rome")).pivot("sales")
+    assert p.has_pivot and got(p.select("id", "amount")) == [(10, 5.0), (11, None)]
+    assert not p.reset_pivot().has_pivot and got(p.reset_pivot().select("id")) == [(1,), (4,)]
+    with pytest.raises(ValidationError):
+        shop.pivot("nowhere")
+
+
+def test_hidden_keys_join(shop, spark):
+    t = {"a": spark.createDataFrame([(1, 7)], "id long, k long"), "b": spark.createDataFrame([(7, "x")], "k long, v string")}
+    d = {"source": {"source_table": "a", "primary_key": "id", "fields": ["id", "k"], "redact_fields": ["k"], "associations": {"b": {"queryable": "b", "owner_key": "k", "related_key": "k"}}}, "schemas": {"b": {"source_table": "b", "primary_key": "k", "fields": ["k", "v"], "redact_fields": ["k"]}}, "joins": {"b": {}}}
+    q = configure(spark, d, t)
+    assert got(q.select("id", "b.v")) == [(1, "x")]
+    for f in ("k", "b.k"):
+        with pytest.raises(FieldResolutionError):
+            q.select(f).df()
+    assert got(q.select("id").subfilter("b.v", "x")) == [(1,)]
+
+
+def test_form_filters(shop, spark):
+    from quarry.sources.forms import form_filter
+
+    provider = {"type": "static", "values": ["a", "b"]}
+    assert form_filter("f", ["", None], provider, shop.tables) is None and form_filter("f", "a") == ("f", "a")
+    assert form_filter("f", ["b", "a", "b"], provider, shop.tables) == ("f", ["b", "a"])
+    with pytest.raises(ValidationError):
+        form_filter("f", ["a", "z"], provider, shop.tables)
+
+
+def test_coercion_modes(spark):
+    df = spark.createDataFrame([("1", "x", "2024-01-02T03:04:05"), (None, "2", "2024-01-02 03:04")], "a string, b string, c string")
+    assert sinks.detect(df, ["a", "b", "c"]) == {"a": "integer", "b": "string", "c": "utc_datetime"}
+    assert [r.a for r in sinks.coerce(df, {"a": "auto"}).collect()] == [1, None]
+    assert [r.b for r in sinks.coerce(df, {"b": "integer"}).collect()] == [None, 2]
+    assert [r.b for r in sinks.coerce(df, {"b": "integer"}, "custom", lambda c, kind: F.concat(c, F.lit(kind))).collect()] == ["xinteger", "2integer"]
+    assert [r.b for r in sinks.coerce(df, {"b": "integer"}, "custom", F.upper).collect()] == ["X", "2"]
+    with pytest.raises(TransformationError):
+        sinks.coerce(df, {"b": "integer"}, "odd")
+
+
+def test_errors_are_wrapped(shop):
+    with pytest.raises(QueryError):
+        shop.select(("no_such_function", "id")).rows()
+
+
+def test_field_checks(shop):
+    out = shop.validate_fields("id", "city.city", "city.town", "secret")
+    assert out["valid"] == ["id", "city.city"] and set(out["errors"]) == {"city.town", "secret"}
+    with pytest.raises(ValidationError):
+        shop.select("id", ("count", "*")).group_by(("literal_position", 3)).df()
+
+
+def test_declared_domains_are_checked_when_made():
+    from quarry.plans.domain import Declared
+
+    with pytest.raises(ConfigurationError):
+        type("Broken", (Declared,), {"source": {"source_table": "t", "primary_key": "id", "fields": ["id"]}, "schemas": {}, "joins": {"nothing": {}}})
