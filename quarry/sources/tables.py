@@ -19,10 +19,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, where: str | Mapping[str, DataFrame] | Callable[[str], DataFrame] | None = None):
         self.spark, self.where = spark, where
+        self.read: dict[str, DataFrame] = {}  # files whose schema is known
 
     def __call__(self, name: str) -> DataFrame:
         if isinstance(self.where, str):
-            return self.spark.read.parquet(f"{self.where}/{name}.parquet")
+            if name not in self.read:
+                self.read[name] = self.spark.read.parquet(f"{self.where}/{name}.parquet")
+            return self.read[name]
         if isinstance(self.where, Mapping):
             if name not in self.where:
                 raise ConfigurationError(f"no table {name!r}")
