@@ -39,11 +39,14 @@ def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
     nodes: tree, node, parent, role, text, score. Returns tree, path (from 1), path_score, n_turns,
     formatted, loss_spans (start, len in code points of formatted: each assistant text). A null text,
     role or score is empty or 0. A null tree is a tree. A parent that isn't there makes a root. Nodes of a
-    cycle have no root and are on no path. (tree, node) must be unique and node not null. Paths of equal
-    score rank by their nodes. Other columns are ignored.
+    cycle have no root and are on no path. A null node is on no path, as nothing can answer it; of rows that
+    repeat (tree, node) the least by parent, role, text and score counts. Paths of equal score rank by their
+    nodes. No rows, no conversations. Other columns are ignored. A level of branching runs costs one job.
     """
     ws = Workspace(nodes.sparkSession, "chat")
     n = nodes.select("tree", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    rest = F.min(F.struct("parent", "role", "text", "score")).alias("r")
+    n = ws.save(n.where("node is not null").groupBy("tree", "node").agg(rest).select("tree", "node", "r.parent", "r.role", "r.text", "r.score"), "nodes")
     up = n.select(F.col("tree").alias("t2"), F.col("node").alias("p2"))
     kids = n.groupBy(F.col("tree").alias("t3"), F.col("parent").alias("p3")).agg(F.count("*").alias("kids"))
     here = n.join(up, n.tree.eqNullSafe(up.t2) & (n.parent == up.p2), "left").join(kids, n.tree.eqNullSafe(kids.t3) & (n.parent == kids.p3), "left")

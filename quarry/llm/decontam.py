@@ -138,7 +138,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, recal
     """(doc_id, item_id, n_item, n_shared, containment): items held to the threshold or more.
 
     One pass over the documents for each block of items; no shuffle. Null or empty texts on either side
-    match nothing. Null ids pass through as null. Repeated rows and items match each on its own.
+    match nothing. Null ids pass through as null. Repeated rows and items match each on its own, so there are
+    no ties. Texts are read whole, however long; an item may also lie scattered over a document, as its
+    containment in the whole text decides, but only one that lies in a piece is promised ``recall``. Without
+    documents or items there are no rows. Other columns are ignored.
     """
     schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
@@ -158,7 +161,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, recal
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, recall: float = 0.999, n: int = 5, block: int = 20_000) -> DataFrame:
-    """docs without the rows that hold a benchmark item; map only, all columns as they were."""
+    """docs without the rows that hold a benchmark item; map only, all columns as they were.
+
+    Null and empty texts stay, repeated rows stay or go alike, no items leave all. Helper columns give way.
+    """
     out = docs
     for ix in indexes(benchmark, threshold, recall, n, block):
         t, hits = fresh(out, "t", "hits")

@@ -128,7 +128,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 409
     the executors is bounded. A first look at a bounded sample of vectors gives each query a score that k
     vectors reach; no block returns less. Rows with a query's own vec_id aren't its candidates; a repeated
     vector row is a candidate each time, a repeated query one query. Vectors of unequal length are compared
-    as if ended by zeros. A score that is one of the best and leaves 64 bits is an error. Rows with null ids take no part. No candidates, no rows.
+    as if ended by zeros. A score that is one of the best and leaves 64 bits is an error. Rows with null
+    ids take no part. No candidates, no rows. Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"

@@ -77,7 +77,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 1.0, l2: float =
     """Weights and bias by full-batch Adam, small weights shrunk to 0 (l1). rows: distinct features of each text."""
     w, bias = np.zeros(DIMS), 0.0
     if len(y) == 0 or y.min() == y.max():
-        return w, (np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0)
+        return w, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.0)))  # without labels nothing is rejected
     terms = _term_features()
     pairs = [counterfactual(x, i, terms) for i, x in enumerate(rows)]
     named = np.unique(np.concatenate([v for g in terms for v in g]))
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options):
 
     Labels that are null or not 0 or 1, or of null ids or ids without a document, don't count; a label row that
     repeats counts once, an id with both labels or with several documents counts with each. A null text is
-    empty, long texts count whole. Without labels, or with one label only, the model is a constant. What is
+    empty, long texts count whole. Without labels, or with one label only, the model is a constant; without labels it rejects nothing. What is
     sent to the executors (``pick``) and gathered has max_rows rows at most per document of an id.
     """
     pick = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
