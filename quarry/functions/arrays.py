@@ -70,11 +70,15 @@ def from_string(c: Column, d: str, null: str | None = None) -> Column:
 
 
 def agg(c: Column, order: Column | None = None, keep: Column | None = None) -> Column:
-    """array_agg that keeps NULLs; sorted by order, or by value (NULLs first) for a stable result. keep: the rows that count."""
+    """array_agg that keeps NULLs; sorted by order, or by value (NULLs first) for a stable result.
+
+    No rows make an empty array. keep: the rows that count; if there are none, NULL.
+    """
     item = F.struct((c if order is None else order).alias("k"), c.alias("v"))
     item = item if keep is None else F.when(keep, item)
     rows = F.array_sort(F.collect_list(item))
-    return F.when(F.size(rows) > 0, F.transform(rows, lambda x: x["v"]))
+    out = F.transform(rows, lambda x: x["v"])
+    return out if keep is None else F.when(F.size(rows) > 0, out)
 
 
 def string_agg(c: Column, d: str = ",", order: Column | None = None) -> Column:

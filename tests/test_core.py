@@ -123,10 +123,10 @@ def test_whole_hierarchies_reach_every_node(spark):
         while path[-1]:
             path.append(up[path[-1]])
         want[k] = path[::-1]
-    got = QUERIES["hier_adjacency_whole"](spark, sf).collect()
+    got = QUERIES["hier_adjacency"](spark, sf).collect()
     assert len(got) == n and {r.id: (r.level, r.path) for r in got} == {k: (len(p) - 1, "/".join(map(str, p))) for k, p in want.items()}
-    assert QUERIES["hier_closure_whole"](spark, sf).count() == sum(map(len, want.values()))
-    assert QUERIES["setop_mapping_whole"](spark, sf).count() == n + spark.read.parquet(f"{sf}/supplier.parquet").count()
+    assert QUERIES["hier_closure"](spark, sf).count() == sum(map(len, want.values()))
+    assert QUERIES["setop_mapping"](spark, sf).count() == n + spark.read.parquet(f"{sf}/supplier.parquet").count()
     t = spark.createDataFrame([(1, None), (2, 1), (1, 2)], "id long, up long")
     assert sorted((r.id, r.level) for r in adjacency(t, "id", "up", None).collect()) == [(1, 0), (2, 1)]
 
@@ -146,13 +146,13 @@ def test_whole_orders_number_all_rows(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/orders.parquet").collect()
     s = lambda r: None if r.o_orderstatus == "F" else r.o_orderstatus
-    got = {r.n: (r.o_orderkey, r.s) for r in QUERIES["order_nulls_whole"](spark, sf).collect()}
+    got = {r.n: (r.o_orderkey, r.s) for r in QUERIES["order_nulls"](spark, sf).collect()}
     want = sorted(rows, key=lambda r: (s(r) is None, -ord(s(r) or "A"), r.o_orderkey))
     assert got == {i: (r.o_orderkey, s(r)) for i, r in enumerate(want, 1)} and any(v is None for _, v in got.values())
-    got = {r.n: r.o_orderkey for r in QUERIES["order_bare_nulls_first_whole"](spark, sf).collect()}
+    got = {r.n: r.o_orderkey for r in QUERIES["order_bare_nulls_first"](spark, sf).collect()}
     assert got == {i: r.o_orderkey for i, r in enumerate(sorted(rows, key=lambda r: (s(r) is not None, s(r) or "", -r.o_totalprice, r.o_orderkey)), 1)}
     n = spark.read.parquet(f"{sf}/events.parquet").count()
-    assert sorted(r.n for r in QUERIES["json_order_whole"](spark, sf).collect()) == list(range(1, n + 1))
+    assert sorted(r.n for r in QUERIES["json_order"](spark, sf).collect()) == list(range(1, n + 1))
 
 
 def test_values_options_series(spark, shop):
