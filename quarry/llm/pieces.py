@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import rolling as R
 from .common import append, column, fresh, row_groups, text_buffer, text_of
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 WIDE = 64
 SLOTS = 1 << 20
 
