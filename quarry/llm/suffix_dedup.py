@@ -7,10 +7,12 @@ A byte goes if a ``window``-byte string that covers it also starts in a document
    only go (one shuffle of 16 bytes an anchor).
 2. Contexts. For each anchor left, the bytes under all windows that chose it are sent to the anchor's
    bucket, equal contexts of a batch combined.
-3. Suffix sort. In a bucket, the suffixes that start at equal distance before the anchor are sorted by
-   mergesort. Two suffixes are compared by binary search for their common extension over prefix
-   polynomial hashes: log2(window) steps. Neighbours with an extension of a whole window are a run of
-   equal windows (compared byte by byte, against collisions); the smallest id in a run keeps it.
+3. Suffix sort. Contexts that share an anchor by chance share little beside it: their windows are left
+   out by the bytes that all windows on one side of an anchor hold. In a bucket, the suffixes that start
+   at equal distance before the anchor are sorted by words of eight bytes, of which only ties are read on.
+   The common extension of neighbours is found by binary search over prefix polynomial hashes: log2(window)
+   steps. Neighbours with an extension of a whole window are a run of equal windows (compared byte by
+   byte, against collisions); the smallest id in a run keeps it.
 4. The spans found come back to their documents by id and text hash.
 """
 
@@ -119,12 +121,14 @@ def _contexts(batches, window, k):
 
 
 class Suffixes:
-    """Suffixes of a byte buffer, compared to a depth by common extensions of hashed prefixes."""
+    """Suffixes of a byte buffer, sorted to a depth; neighbours' common extensions by hashed prefixes."""
 
     def __init__(self, buf: np.ndarray, depth: int):
         self.buf, self.depth = buf, depth
         self.p = R.byte_prefix(buf)
         self.inv = R.inverse(len(self.p))
+        raw = np.append(buf, np.zeros(8, np.uint8))
+        self.words = np.ndarray(len(buf) + 1, ">u8", raw, strides=(1,))  # the eight bytes from each place on
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes at x and y, at most depth."""
@@ -140,49 +144,24 @@ class Suffixes:
         out[rest] = lo
         return out
 
-    def less(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether suffix x comes before y, and whether they are equal to the depth."""
-        n = self.extension(x, y)
-        same = n >= self.depth
-        i = np.minimum(n, self.depth - 1)
-        return self.buf[x + i] < self.buf[y + i], same
-
     def sort(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of the suffixes by group (which must not descend), then by content: bottom-up mergesort.
+        """Order of the suffixes by group (which must not descend), then by content: radix sort by words.
 
-        The groups' runs are merged side by side. An element's place is its place in its own run plus
-        its rank in the run beside it, found by binary search.
+        Suffixes that tie in all words so far stand together and are sorted by the next eight bytes; a
+        suffix that ties with no other is done.
         """
-        n = len(starts)
-        order = np.arange(n)
-        head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else order
-        size = np.diff(np.append(head, n))
-        base, count = np.repeat(head, size), np.repeat(size, size)
-        run = 1
-        while n and run < size.max():
-            act = np.flatnonzero(count > run)
-            b, c, i = base[act], count[act], act - base[act]
-            left = (i // run) % 2 == 0
-            other = np.where(left, (i // run + 1) * run, (i // run - 1) * run)
-            end = np.minimum(other + run, c)
-            me = starts[order[act]]
-            lo, hi = np.minimum(other, c), np.maximum(end, np.minimum(other, c))
-            first = lo.copy()
-            while True:
-                go = np.flatnonzero(lo < hi)
-                if not len(go):
-                    break
-                mid = (lo[go] + hi[go]) >> 1
-                it = starts[order[b[go] + mid]]
-                before, same = self.less(it, me[go])
-                ahead = (before & ~same) | (same & ~left[go])
-                lo[go] = np.where(ahead, mid + 1, lo[go])
-                hi[go] = np.where(ahead, hi[go], mid)
-            place = b + np.where(left, i, i - run) + (lo - first)
-            merged = order.copy()
-            merged[place] = order[act]
-            order = merged
-            run *= 2
+        order = np.arange(len(starts))
+        todo, tie = order.copy(), group
+        for lo in range(0, self.depth, 8):
+            if not len(todo):
+                break
+            word = self.words[starts[order[todo]] + lo].astype(np.uint64) >> R.U(8 * max(0, lo + 8 - self.depth))
+            by = np.lexsort((word, tie))
+            order[todo], word = order[todo[by]], word[by]
+            new = np.ones(len(todo) + 1, bool)
+            new[1:-1] = (tie[1:] != tie[:-1]) | (word[1:] != word[:-1])
+            stay = ~(new[:-1] & new[1:])
+            todo, tie = todo[stay], np.cumsum(new[:-1])[stay]
         return order
 
     def runs(self, starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +189,25 @@ class Suffixes:
         return order, np.cumsum(new)
 
 
+def paired(p, begin, at, lens, window, n, dist):
+    """Which windows of different contexts can equal one of another context; the rest needn't be sorted.
+
+    All windows that start at most ``half`` before their anchor hold the window - half bytes from it on, and
+    all that start earlier the half + 1 bytes before it and what the earliest of them holds from it on. So
+    equal windows have equal bytes there, and most contexts that share a short anchor by chance don't.
+    """
+    top = int(at.max())
+    half = top // 2
+    a = begin + at
+    late, early = np.flatnonzero(at - (lens - window) <= half), np.flatnonzero(at > half)
+    keys = np.concatenate([R.mix(R.span(p, a[late], a[late] + window - half), 1), R.mix(R.span(p, a[early] - half - 1, a[early] + window - top), 2)])
+    _, kind, count = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = count[kind] > 1
+    sides = np.zeros((2, len(at)), bool)
+    sides[0, late], sides[1, early] = shared[: len(late)], shared[len(late) :]
+    return np.where(dist <= half, np.repeat(sides[0], n), np.repeat(sides[1], n))
+
+
 def repeats(h, at, buf, offs, low, window):
     """For contexts end to end in buf, sorted by anchor h: the smallest id that holds each window.
 
@@ -249,12 +247,15 @@ def repeats(h, at, buf, offs, low, window):
         starts = R.ragged(offs[rep[r]], n[r])
         dist = np.repeat(at[rep[r]], n[r]) - (starts - np.repeat(offs[rep[r]], n[r]))
         gid = np.repeat(np.cumsum(edge)[r], n[r])
-        by = np.lexsort((dist, gid))
-        g = gid[by] * (window + 1) + dist[by]
-        order, run = Suffixes(buf, window).runs(starts[by], g)
-        m = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(m, run, out[flat[by[order]]])
-        out[flat[by[order]]] = m[run]
+        live = np.flatnonzero(paired(p, offs[rep[r]], at[rep[r]], lens[rep[r]], window, n[r], dist))
+        flat, starts, dist, gid = (v[live] for v in (flat, starts, dist, gid))
+        if len(live):
+            by = np.lexsort((dist, gid))
+            g = gid[by] * (window + 1) + dist[by]
+            order, run = Suffixes(buf, window).runs(starts[by], g)
+            m = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+            np.minimum.at(m, run, out[flat[by[order]]])
+            out[flat[by[order]]] = m[run]
     lens_out = nwin
     return out[R.ragged(w_off[class_of], lens_out)]
 

@@ -143,3 +143,45 @@ def test_collision_falls_back_to_bytes(monkeypatch):
     order, run = suffix_dedup.Suffixes(buf, 4).runs(np.array([0, 4, 8]), np.zeros(3, np.int64))
     assert run[-1] - run[0] == 1 and order[-1] == 1
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def one_anchor(tails, window=12):
+    """repeats() of contexts of one anchor (four bytes, eight in front of them) and what each ends with; which windows it sorts."""
+    ctx = [b"%08d" % i + b"abcd" + t for i, t in enumerate(tails)]
+    buf = np.frombuffer(b"".join(ctx), np.uint8)
+    offs = np.append(0, np.cumsum([len(c) for c in ctx]))
+    sorted_ = []
+    runs = suffix_dedup.Suffixes.runs
+
+    def counted(self, starts, group):
+        sorted_.extend(starts.tolist())
+        return runs(self, starts, group)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix_dedup.Suffixes, "runs", counted)
+        got = suffix_dedup.repeats(np.zeros(len(ctx), np.uint64), np.full(len(ctx), 8), buf, offs, np.arange(len(ctx)), window)
+    first, want = {}, []
+    for i, c in enumerate(ctx):
+        want += [first.setdefault(c[s : s + window], i) for s in range(len(c) - window + 1)]
+    return got.tolist(), want, len(sorted_)
+
+
+def test_contexts_that_share_an_anchor_by_chance_are_not_sorted():
+    got, want, n = one_anchor([b"%04d0000" % i for i in range(200)])
+    assert got == want and n == 0
+
+
+def test_contexts_that_share_more_than_an_anchor_are_sorted():
+    got, want, n = one_anchor([b"%04d0000" % (i // 3 if i < 9 else i) for i in range(200)] + [b"00010000", b"0002000x"])
+    assert got == want and len(set(got)) < len(got) and 0 < n < len(got)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 30), st.lists(st.tuples(st.integers(0, 2), st.text("ab", min_size=30, max_size=33).map(lambda t: "a" * 20 + t[:13])), max_size=12))
+def test_suffix_sort_of_long_ties(depth, items):
+    items.sort(key=lambda x: x[0])
+    raw = "".join(t for _, t in items).encode()
+    starts = np.arange(len(items)) * 33
+    group = np.array([g for g, _ in items], np.int64)
+    order = suffix_dedup.Suffixes(np.frombuffer(raw, np.uint8), depth).sort(starts, group)
+    assert order.tolist() == sorted(range(len(items)), key=lambda i: (group[i], raw[starts[i] : starts[i] + depth], i))
