@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from collections import Counter
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ from pyspark.sql import types as T
 from .common import Workspace, append, column, fresh
 
 BUCKETS = 64
-#: Levels of the tree (blocks nested deeper stand in the block of the last level), and cells of an alignment by whole search.
+#: Levels of the tree (blocks nested deeper stand in the block of the last level), and pairs from which on an alignment's
+#: table is filled by rows (for speed only).
 DEPTH, CELLS = 150, 20_000
 #: Texts counted at a slot of a template, and nodes of a template, beyond which the rarest go.
 TEXTS, NODES = 64, 8000
@@ -216,28 +219,12 @@ def alike(a: Node, b: Node) -> bool:
 
 
 def align(x: list, y: list) -> tuple[float, list]:
-    """The children in order, matched as in match(). Long lists meet at children that say the same first.
-
-    What lies between those is searched as a whole up to CELLS pairs; beyond, each child is matched with
-    the next one of its label, so that a page of many blocks takes time in proportion to them.
-    """
+    """The children in order, matched as in match(). Beyond CELLS pairs the same table is filled by whole rows."""
     m, n = len(x), len(y)
     if not m or not n:
         return 0, [*((k, None, ()) for k in x), *((None, k, ()) for k in y)]
     if m * n > CELLS:
-        best, pairs, i, j = 0.0, [], 0, 0
-        for p, q in [*meeting(x, y), (m, n)]:
-            if (p - i) * (q - j) > CELLS:
-                got, part = in_turn(x[i:p], y[j:q])
-            else:
-                got, part = align(x[i:p], y[j:q])
-            best, pairs = best + got, pairs + part
-            if p < m:
-                got, below = match(x[p], y[q])
-                best += got or 1.5
-                pairs.append((x[p], y[q], below))
-            i, j = p + 1, q + 1
-        return best, pairs
+        return align_by_rows(x, y)
     w = [[0] * (n + 1) for _ in range(m + 1)]
     sub = {}
     for i in range(m):
@@ -280,56 +267,86 @@ def align(x: list, y: list) -> tuple[float, list]:
     return w[m][n], pairs[::-1]
 
 
-def said(node: Node) -> list:
-    """What a child says, if it is a text or a block of one."""
-    leaf = node if node.texts is not None else node.kids[0] if len(node.kids) == 1 else None
-    return [(node.label, k) for k in leaf.texts] if leaf is not None and leaf.texts is not None else []
-
-
-def meeting(x: list, y: list) -> list:
-    """The longest run of places (i, j), both ascending, where x[i] and y[j] say what no other child in its list says."""
-    from bisect import bisect_left
-
-    here, there = Counter(k for c in x for k in said(c)), {}
-    for j, c in enumerate(y):
-        for k in said(c):
-            there[k] = -1 if k in there else j
-    tops: list = []  # the least end of a run of each length
-    chain: list = []
-    for i, c in enumerate(x):
-        at = sorted({j for k in said(c) if here[k] == 1 and (j := there.get(k, -1)) >= 0}, reverse=True)
-        for j in at:
-            n = bisect_left(tops, j)
-            node = (i, j, chain[n - 1] if n else None)
-            if n == len(tops):
-                tops.append(j)
-                chain.append(node)
-            else:
-                tops[n], chain[n] = j, node
-    out, node = [], chain[-1] if chain else None
-    while node:
-        out.append(node[:2])
-        node = node[2]
-    return [(i, j) for i, j in reversed(out)]
-
-
-def in_turn(x: list, y: list) -> tuple[float, list]:
-    best, pairs, j = 0.0, [], 0
-    later = Counter(k.label for k in y)
-    for p in x:
-        if not later[p.label]:
-            pairs.append((p, None, ()))
-            continue
-        while y[j].label != p.label:
+def shape(node: Node):
+    """Equal for nodes that differ in what they say only."""
+    return node.label if node.texts is not None else (node.label, *map(shape, node.kids))
+
+
+def against(a: Node, b: Node, where: dict, n: int):
+    """The greatest numbers of match(a, q) for the n nodes q of b's shape: an array, or a number if they all are alike.
+
+    where has for each text of b, by its id, the nodes (from 0 on) by what they say there.
+    """
+    if a.label != b.label:
+        return 0.0
+    if a.texts is not None:
+        hit = [where[id(b)][k] for k in a.texts if k in where[id(b)]]
+        if not hit:
+            return 1.0
+        out = np.ones(n)
+        out[np.concatenate(hit)] = 1.5
+        return out
+    more = lambda v, u: max(v, u) if type(v) is type(u) is float else np.maximum(v, u)
+    above = [0.0] * (len(b.kids) + 1)
+    for p in a.kids:
+        row = [0.0]
+        for j, q in enumerate(b.kids):
+            best = more(above[j + 1], row[j])
+            row.append(more(best, above[j] + against(p, q, where, n)) if p.label == q.label else best)
+        above = row
+    return 1.0 + above[-1]
+
+
+def align_by_rows(x: list, y: list) -> tuple[float, list]:
+    """align() for long lists, with the same result: a child is held against all children of one shape at once.
+
+    Only some rows of the table are kept; the others are made again on the way back.
+    """
+    m, n = len(x), len(y)
+    shapes: dict = {}
+    for j, q in enumerate(y):
+        shapes.setdefault(shape(q), []).append(j)
+    kinds: dict = {}
+    for js in shapes.values():
+        rep, where = y[js[0]], {}
+        for leaf, *keys in zip(leaves(rep), *([v.key for v in leaves(y[j])] for j in js), strict=True):
+            at = where[id(leaf)] = {}
+            for i, k in enumerate(keys):
+                at.setdefault(k, []).append(i)
+        kinds.setdefault(rep.label, []).append((rep, js, where))
+
+    def below(above, p):
+        s = above[:-1].copy()
+        for rep, js, where in kinds.get(p.label, ()):
+            s[js] += match(p, rep)[0] if len(js) == 1 else against(p, rep, where, len(js))
+        return np.maximum.accumulate(np.append(0.0, np.maximum(above[1:], s)))
+
+    step = math.isqrt(m) + 1
+    row, kept = np.zeros(n + 1), []
+    for i, p in enumerate(x):
+        if i % step == 0:
+            kept.append(row)
+        row = below(row, p)
+    best, pairs, i, j, w = float(row[n]), [], m, n, {}
+    while i and j:
+        if i - 1 not in w:
+            lo = (i - 1) // step
+            w = {lo * step: kept[lo]}
+            for r in range(lo * step, i):
+                w[r + 1] = below(w[r], x[r])
+        v = w[i][j]
+        if v == w[i - 1][j]:
+            i -= 1
+            pairs.append((x[i], None, ()))
+        elif v == w[i][j - 1]:
+            j -= 1
             pairs.append((None, y[j], ()))
-            later[y[j].label] -= 1
-            j += 1
-        got, below = match(p, y[j])
-        best += got
-        pairs.append((p, y[j], below))
-        later[p.label] -= 1
-        j += 1
-    return best, pairs + [(None, k, ()) for k in y[j:]]
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((x[i], y[j], match(x[i], y[j])[1]))
+    pairs += [(k, None, ()) for k in reversed(x[:i])]
+    pairs += [(None, k, ()) for k in reversed(y[:j])]
+    return best, pairs[::-1]
 
 
 def fold(template: Node, page: Node) -> None:
@@ -561,8 +578,8 @@ def extract_main_text(pages: DataFrame, share: float = 0.6, least: int = 5) -> D
     host's pages are folded in up to BUCKETS parts, by the hash of what they say, before these meet, always
     in the same order: the result doesn't depend on the order or batches of rows. Hosts
     with under ``least`` different pages have no template. A null or odd url is the host "". Blocks nested
-    more than DEPTH deep count as parts of the block at that level; lists of many blocks are aligned at those
-    that say the same. No pages, no rows; repeated rows have the same text each. Extra columns pass through;
+    more than DEPTH deep count as parts of the block at that level; lists of blocks of any length are aligned
+    so that most nodes match. No pages, no rows; repeated rows have the same text each. Extra columns pass through;
     new ones give way to existing names.
     """
     ws = Workspace(pages.sparkSession, "wrappers")

@@ -214,6 +214,35 @@ def test_matching_equals_its_definition():
         assert html_extract.match(a, b)[0] == plain_match(a, b)
 
 
+def test_long_lists_match_as_short_ones(monkeypatch):
+    r = random.Random(17)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.3:
+            return f"<p>{r.choice('abcdef')}</p>"
+        tag = r.choice(["div", "section"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(r.randint(0, 3))) + f"</{tag}>"
+
+    flat = lambda pairs: [(id(a), id(b), flat(below)) for a, b, below in pairs]
+    for cells in (0, 4, 12):
+        for _ in range(25):
+            a, b, c = (html_extract.parse("<body>" + "".join(tree(3) for _ in range(r.randint(1, 7))) + "</body>") for _ in range(3))
+            html_extract.fold(a, c)
+            want = html_extract.match(a, b)
+            with monkeypatch.context() as m:
+                m.setattr(html_extract, "CELLS", cells)
+                got = html_extract.match(a, b)
+            assert got[0] == want[0] == plain_match(a, b) and flat(got[1]) == flat(want[1])
+
+
+def test_long_lists_match_the_most_nodes():
+    """A section moved from the top to the end takes no paragraph's match."""
+    many = lambda w: "".join(f"<p>{w} {i}</p>" for i in range(200))
+    x = html_extract.parse(f"<body><section><p>top</p></section>{many('a')}</body>")
+    y = html_extract.parse(f"<body>{many('b')}<section><p>end</p></section></body>")
+    assert html_extract.match(x, y)[0] == 1 + 1 + 200 * 2
+
+
 # ---------------------------------------------------------------- rows
 
 
