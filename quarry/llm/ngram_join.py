@@ -155,6 +155,11 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def stars(comp: DataFrame) -> DataFrame:
+    """Links (a, b) of the same components, from each node to the smallest: components() of them and a few more ends soon."""
+    return comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a > b")
+
+
 def verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, n: int, t_num: int, t_den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have that Jaccard similarity."""
     one = pairs.join(texts.select(F.col("nid").alias("a"), F.col("t").alias("x")), "a")
@@ -187,7 +192,7 @@ def _whole(batches, n):
 
 
 def dense_links(ws: Workspace, dense: DataFrame, texts: DataFrame, links: DataFrame, similar, n: int, t_num: int, t_den: int) -> DataFrame:
-    """links and those between dense classes (nid, n, comp) of different components, by prefixes of whole sets."""
+    """Links of the components of links and of those between dense classes (nid, n, comp) of different ones, by prefixes of whole sets."""
     whole = dense.join(texts, "nid").mapInArrow(lambda it: _whole(it, n), "nid long, n int, comp long, tok long")
     whole = ws.save(whole, "whole")
     held = whole.groupBy("tok").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
@@ -223,7 +228,7 @@ def dense_links(ws: Workspace, dense: DataFrame, texts: DataFrame, links: DataFr
     near = lab.join(firsts, "tok").select("nid", "comp", F.explode("ps").alias("q")).where("comp <> q.comp").select("nid", F.col("q.nid").alias("p")).distinct()
     near = near.join(renamed(info, "x_"), F.col("nid") == F.col("x_nid")).join(renamed(info, "y_"), F.col("p") == F.col("y_nid")).where(able("x_", "y_"))
     found = ws.save(similar(best_pivots(near.select("nid", "p", F.size(both("x_", "y_")).alias("c")))), "verified")
-    links = links.union(found)
+    links = stars(comp).union(found)
 
     comp = ws.save(components(ws, links), "components")
     own = labelled(post, comp)
@@ -235,7 +240,7 @@ def dense_links(ws: Workspace, dense: DataFrame, texts: DataFrame, links: DataFr
     ok = (F.col("l_comp") != F.col("comp")) & ((F.col("comp") == F.col("most")) | (F.col("l_nid") < F.col("nid")))
     cand = left.join(live, (F.col("l_tok") == F.col("tok")) & ok & able("l_", "") & (F.element_at(both("l_", ""), 1) == F.col("tok")))
     cand = ws.save(cand.select(F.greatest("l_nid", "nid").alias("a"), F.least("l_nid", "nid").alias("b")).distinct(), "candidates")
-    return links.union(ws.save(similar(cand), "verified"))
+    return stars(comp).union(ws.save(similar(cand), "verified"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -287,7 +292,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     level = F.greatest("lev", "l_lev") <= ell
     cand = left.join(live, (left.tok == live.tok) & ok & fits & level)
     cand = cand.groupBy(F.least("nid", "l_nid").alias("b"), F.greatest("nid", "l_nid").alias("a")).agg(F.count("*").alias("c"), F.first(ell).alias("need")).where("c >= need").select("a", "b")
-    links = links.union(ws.save(similar(ws.save(cand, "candidates")), "verified"))
+    links = stars(comp).union(ws.save(similar(ws.save(cand, "candidates")), "verified"))
     links = dense_links(ws, dense, texts, links, similar, shingle, t_num, t_den)
     comp = ws.save(components(ws, links), "components")
     ws.drop(texts)

@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options):
 
     Labels that are null or not 0 or 1, or of null ids or ids without a document, don't count; a label row that
     repeats counts once, an id with both labels or with several documents counts with each. A null text is
-    empty, long texts count whole. Without labels, or with one label only, the model is a constant; without labels it rejects nothing. What is
-    sent to the executors (``pick``) and gathered has max_rows rows at most per document of an id.
+    empty, long texts count whole. One task learns, and the driver gets the weights that aren't 0. Without labels, or with one label only, the model is a constant; without labels it rejects nothing. What is
+    sent to the executors (``pick``) and learned from has max_rows rows at most per document of an id.
     """
     pick = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     pick = pick.select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
@@ -168,9 +168,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options):
                 f, o = features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(f.astype(np.int32)))], names=["doc_id", "y", "f"])
 
-    t = some.mapInArrow(run, "doc_id long, y int, f array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    rows = [np.asarray(r.values).astype(np.int64) if len(r) else np.zeros(0, np.int64) for r in t["f"]]
-    return calibrated(rows, t["y"].to_numpy().astype(float), **options)
+    def learn(batches):
+        t = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("f", pa.list_(pa.int32()))]))
+        t = t.sort_by([("doc_id", "ascending"), ("y", "ascending")])
+        rows = [np.asarray(r.values).astype(np.int64) if len(r) else np.zeros(0, np.int64) for r in t["f"]]
+        w, bias = calibrated(rows, t["y"].to_numpy().astype(float), **options)
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, w[at], np.array([bias]))], names=["at", "w", "bias"])
+
+    sample = some.mapInArrow(run, "doc_id long, y int, f array<int>").repartition(1)
+    model = sample.mapInArrow(learn, "at binary, w binary, bias binary").first()  # one task learns: the driver needs no memory for it
+    w = np.zeros(DIMS)
+    if model is None:  # no rows, no task
+        return calibrated([], np.zeros(0), **options)
+    w[np.frombuffer(model["at"], np.int64)] = np.frombuffer(model["w"])
+    return w, float(np.frombuffer(model["bias"])[0])
 
 
 def score(docs: DataFrame, model) -> DataFrame:

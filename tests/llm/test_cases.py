@@ -97,6 +97,28 @@ def test_threshold_is_the_best_by_brute_force():
         assert np.isclose(gain(toxicity.threshold(z, y, 4.0)), max(gain(t) for t in [*np.unique(z) - 0.05, z.max() + 1]))
 
 
+def test_the_driver_learns_nothing(spark, monkeypatch):
+    """A task fits the model; what it says is that of a fit here, constants and empty tables too."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["kind", "plain", "vile"][: 2 + i % 2]) for _ in range(12)), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").where(~toxicity.held_out())
+    used = [x.doc_id for x in labels.orderBy("doc_id").collect()]
+    raw = [rows[i][1].encode() for i in used]
+    f, o = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+    want = toxicity.calibrated([f[o[i] : o[i + 1]] for i in range(len(raw))], np.array([rows[i][2] for i in used], float))
+    none = toxicity.calibrated([], np.zeros(0))
+
+    def here(*_, **__):
+        raise AssertionError("fitted by the driver")
+
+    monkeypatch.setattr(toxicity, "fit", here)
+    got = toxicity.train(docs, labels)
+    assert np.array_equal(got[0], want[0]) and got[1] == want[1] and np.any(got[0])
+    monkeypatch.undo()
+    assert toxicity.train(docs, labels.limit(0))[1] == none[1] == toxicity.train(docs.limit(0), labels)[1]
+
+
 def test_swapped_terms_move_no_score(spark):
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(120)]
