@@ -27,7 +27,7 @@ from . import rolling as R
 from .common import NULLS, Workspace, column, fresh, keyed_ordinal, row_groups, text_buffer, text_of, total_bytes
 from .shared import ANCHOR_SCHEMA, anchor_rows, shared_anchors
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 BASE = 40
 
 

@@ -22,7 +22,7 @@ def _pow(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
         b = BASE if kind == "up" else pow(BASE, -1, 2**64)
-        m = max(n, 1 << 16, 0 if have is None else 2 * len(have))
+        m = max(n + n // 8, 1 << 16)
         a = np.full(m, b, np.uint64)
         a[0] = 1
         have = _powers[kind] = np.multiply.accumulate(a)

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quarry.llm import chat, html_extract, ngram_join, phrase_dedup, queries, suffix_dedup, topk, toxicity
+from quarry.llm import chat, html_extract, ngram_join, phrase_dedup, queries, rolling, suffix_dedup, topk, toxicity
 
 from .test_operators import brute_components, page, shingle_sets
 from .test_passages import brute_windows, corpus, words
@@ -298,3 +300,36 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
         assert out.count() == count[name], name
         assert stage(spark, docs.limit(0), root).count() == 0, name
     assert len(words(copy)) == 30 and len(shingle_sets([copy])[0]) == 26
+
+
+# ---------------------------------------------------------------- a worker's memory
+
+
+def peak(f):
+    """MB that f takes at once."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def texts_of(mb):
+    """Texts of 2 KB of words that repeat seldom."""
+    ws = np.random.default_rng(5).integers(0, 10**6, (mb * 500, 286)).tolist()
+    return [" ".join(f"{x:06d}" for x in row) for row in ws]
+
+
+def test_powers_grow_by_an_eighth():
+    rolling._powers.clear()
+    for n in (1_000_000, 1_000_001, 1_130_000):
+        rolling.prefix(np.ones(n, np.uint64))
+    assert len(rolling._powers["up"]) < 1_300_000
+
+
+def test_op7_reads_a_batch_in_small_parts():
+    t = texts_of(8)
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t)], names=["o", "t"])
+    rolling._powers.clear()
+    assert peak(lambda: [x.num_rows for x in phrase_dedup._find([b], 13, 5)]) < 60
