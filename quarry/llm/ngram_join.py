@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import LAST, Workspace, column, fresh, ordinal, text_of
+from .common import LAST, Workspace, column, fresh, ordinal, row_groups, sizes, text_of
 from .rolling import mix
 
 BUCKETS = 1 << 16
 LEVELS = 8
 VERIFY = 20.0
 LONGER = 32
+PAIRS = 4 << 20
 #: Orders of the class ids, by exclusive or, in which a posting's first class is a pivot; SECOND for dense classes.
 ORDERS = [0, 0x5555555555555555, -0x5555555555555556, -1]
 SECOND = [0x3333333333333333, 0x6666666666666666, -0x3333333333333334, -0x6666666666666667]
@@ -72,7 +73,7 @@ def _prefixes(batches, n, t_num, t_den, sketch):
     top, low = np.uint64(48), np.uint64((1 << 48) - 1)
     counts = sketch[by_rank.astype(np.int64)]
     for b in batches:
-        seen, out = set(), [[] for _ in range(5)]
+        seen = set()
         for _, h, so in S.sequences(b, "t", n):
             h, so = S.distinct((rank[(h >> top).astype(np.int64)] << top) | (h & low), so)
             size = np.diff(so)
@@ -95,15 +96,13 @@ def _prefixes(batches, n, t_num, t_den, sketch):
             at = np.repeat(so[r], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             rr = np.repeat(r, count)
             lev = np.maximum(1, at - so[rr] - one[rr] + 2)
-            for lst, x in zip(out, (h[at].view(np.int64), ids[rr].view(np.int64), size[rr].astype(np.int32), lev.astype(np.int32), level[rr].astype(np.int32)), strict=True):
-                lst.append(x)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["tok", "nid", "n", "lev", "ell"])
+            cols = (h[at].view(np.int64), ids[rr].view(np.int64), size[rr].astype(np.int32), lev.astype(np.int32), level[rr].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["tok", "nid", "n", "lev", "ell"])
 
 
 def _overlaps(batches, n):
-    """For pairs of texts the sizes of their shingle sets and of the sets' intersection. A batch's texts are each read once."""
-    for b in batches:
+    """For pairs of texts the sizes of their shingle sets and of the sets' intersection. Texts are each read once for PAIRS bytes of pairs."""
+    for b in (x.slice(lo, hi - lo) for x in batches for lo, hi in row_groups(sizes(column(x, "x")) + sizes(column(x, "y")), PAIRS)):
         x, y = column(b, "a").to_numpy(), column(b, "b").to_numpy()
         if not len(x):
             continue

@@ -7,7 +7,7 @@ import numpy as np
 from . import rolling as R
 from .common import column, row_groups, text_buffer
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def sequences(batch, name, n=5):

@@ -333,3 +333,33 @@ def test_op7_reads_a_batch_in_small_parts():
     b = pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t)], names=["o", "t"])
     rolling._powers.clear()
     assert peak(lambda: [x.num_rows for x in phrase_dedup._find([b], 13, 5)]) < 60
+
+
+def test_op10_reads_pairs_in_small_parts():
+    t = texts_of(8)
+    y = t[1:] + t[:1]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array([*range(1, len(t)), 0]), pa.array(t), pa.array(y)], names=["a", "b", "x", "y"])
+    rolling._powers.clear()
+    assert peak(lambda: [x.num_rows for x in ngram_join._overlaps([b], 5)]) < 60
+
+
+def test_op10_prefixes_leave_part_by_part():
+    t = texts_of(8)
+    b = pa.RecordBatch.from_arrays([pa.array(t)], names=["t"])
+    rolling._powers.clear()
+    assert peak(lambda: [x.num_rows for x in ngram_join._prefixes([b], 5, 4, 5, np.ones(ngram_join.BUCKETS))]) < 60
+
+
+def test_op10_parts_give_the_overlaps_of_whole_batches(monkeypatch):
+    r = random.Random(8)
+    t = [" ".join(r.choice("abc") for _ in range(r.randrange(40))) for _ in range(60)]
+    t.append("a b c d e f")
+    i = [(r.randrange(61), r.randrange(61)) for _ in range(300)]
+    cols = [[x for x, _ in i], [y for _, y in i], [t[x] for x, _ in i], [t[y] for _, y in i]]
+    b = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "x", "y"])
+    sets = shingle_sets(t)
+    want = [(x, y, len(sets[x] & sets[y]), len(sets[x]) + len(sets[y])) for x, y in i]
+    for size in (1, 100, 1 << 22):
+        monkeypatch.setattr(ngram_join, "PAIRS", size)
+        got = [tuple(row.values()) for part in ngram_join._overlaps([b.slice(0, 0), b], 5) for row in part.to_pylist()]
+        assert got == want
