@@ -31,8 +31,8 @@ def adjacency(nodes: DataFrame, key: str, parent: str, depth_limit: int | None =
 
 def below(nodes: DataFrame, key: str, parent: str, level: DataFrame) -> DataFrame:
     """The children of a level's nodes."""
-    up = level.select(F.col(key).alias("_up"), F.col("level").alias("_level"), F.col("path").alias("_path"), F.col("path_array").alias("_array"))
-    return nodes.join(up, F.col(parent) == F.col("_up")).select(
+    up = level.where(F.col(key).isNotNull()).select(F.col(key).alias("_up"), F.col("level").alias("_level"), F.col("path").alias("_path"), F.col("path_array").alias("_array"))
+    return nodes.where(F.col(parent).isNotNull()).join(up, F.col(parent) == F.col("_up")).select(
         *nodes.columns, (F.col("_level") + 1).alias("level"), F.concat_ws("/", "_path", F.col(key).cast("string")).alias("path"), F.concat("_array", F.array(F.col(key))).alias("path_array")
     )
 

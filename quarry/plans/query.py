@@ -515,7 +515,7 @@ def recursive(base: DataFrame, step, max_depth: int | None = None) -> DataFrame:
 
     There is no limit by default. If max_depth steps leave rows for another one, that is an error.
     """
-    from .workspace import checkpoint
+    from .workspace import bare_checkpoint as checkpoint
 
     tiers: list[list[DataFrame]] = []
 

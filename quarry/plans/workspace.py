@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame
 
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+ALONE = threading.Lock()
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
@@ -17,3 +21,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
             root = "file://" + tempfile.mkdtemp(prefix="quarry-")
         sc.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def bare_checkpoint(df: DataFrame) -> DataFrame:
+    """A checkpoint that Spark knows no constraints of. A plain one keeps those of its plan, and from each
+    step of a recursion to the next they multiply until the driver's memory is full."""
+    conf = df.sparkSession.conf
+    with ALONE:
+        before = conf.get(CONSTRAINTS)
+        conf.set(CONSTRAINTS, "false")
+        try:
+            return checkpoint(df.select("*"))
+        finally:
+            conf.set(CONSTRAINTS, before)

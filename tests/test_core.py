@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.errors import ConfigurationError, FieldResolutionError, MultipleResults, NoResults, QueryError, TransformationError, ValidationError
 from quarry.functions import jsonops
 from quarry.functions.dates import date_range
-from quarry.operators.hierarchy import adjacency
+from quarry.operators.hierarchy import adjacency, below
 from quarry.plans.domain import Domain
 from quarry.plans.query import configure, recursive
 from quarry.sources import sinks
@@ -140,6 +140,17 @@ def test_recursion_goes_to_the_end(spark):
         recursive(start, to(6), 4)
 
 
+def test_levels_of_a_hierarchy_keep_no_constraints(spark):
+    """They multiplied from level to level, and filled the driver's memory."""
+    t = spark.createDataFrame([(i, i - 1 if i else None) for i in range(5)], "id long, up long")
+    size = lambda df: df._jdf.queryExecution().analyzed().constraints().size()
+    seen = []
+    step = lambda last: seen.append(size(last)) or below(t, "id", "up", last)
+    root = adjacency(t.where("id = 0"), "id", "up", 0)
+    assert sorted((r.id, r.path) for r in recursive(root, step).collect()) == [(i, "/".join(map(str, range(i + 1)))) for i in range(5)]
+    assert seen == [0] * 5 and spark.conf.get("spark.sql.constraintPropagation.enabled") == "true"
+
+
 def test_whole_orders_number_all_rows(spark):
     from quarry.plans.catalog import QUERIES
 
