@@ -193,7 +193,7 @@ def links(q):
 
 
 add("hier_closure", f"WITH RECURSIVE t AS ({TREE}), h AS (SELECT id, [id] AS up, 0 AS level FROM t WHERE parent IS NULL UNION ALL SELECT t.id, list_prepend(t.id, h.up), h.level + 1 FROM t JOIN h ON t.parent = h.id), c AS (SELECT id AS d, unnest(up) AS a, unnest(range(len(up))) AS depth FROM h), n AS (SELECT a, count(*) AS k FROM c GROUP BY a) SELECT d AS id, depth::INT AS depth, k AS descendants FROM c LEFT JOIN n ON n.a = c.d")(
-    lambda q: closure(tree(q), "id", links(q), "a", "d", "depth").select("id", "depth", F.col("descendant_count").alias("descendants"))
+    lambda q: closure(tree(q), "id", links(q), "a", "d", "depth").where("depth IS NOT NULL").select("id", "depth", F.col("descendant_count").alias("descendants"))  # no nodes that no root reaches
 )
 
 # ---------------------------------------------------------------- aggregation

@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -151,6 +152,26 @@ def test_levels_of_a_hierarchy_keep_no_constraints(spark):
     assert seen == [0] * 5 and spark.conf.get("spark.sql.constraintPropagation.enabled") == "true"
 
 
+@pytest.fixture(scope="module")
+def lost(spark, tmp_path_factory):
+    """sf0.001 with a customer that no root reaches, an order of theirs, an order of nobody known and one without a customer."""
+    sf, out = Path("/root/testdata/sf0.001"), tmp_path_factory.mktemp("lost")
+    for p in sf.iterdir():
+        if p.stem not in ("customer", "orders"):
+            (out / p.name).symlink_to(p)
+    c, o = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "orders"))
+    c.union(c.where("c_custkey = 1").withColumn("c_custkey", F.lit(1_000_000).cast("long"))).write.parquet(f"{out}/customer.parquet")
+    more = spark.createDataFrame([(-1, 1_000_000), (-2, 999_999), (-3, None)], "o_orderkey long, o_custkey long")
+    o.unionByName(more, allowMissingColumns=True).write.parquet(f"{out}/orders.parquet")
+    return str(out)
+
+
+def test_closure_leaves_out_what_no_root_reaches(spark, lost):
+    from quarry.plans.catalog import QUERIES
+
+    assert QUERIES["hier_closure"](spark, lost).where("id = 1000000 OR depth IS NULL").count() == 0
+
+
 def test_whole_orders_number_all_rows(spark):
     from quarry.plans.catalog import QUERIES
 
