@@ -115,8 +115,11 @@ def treed(q, kind, **options):
     """Orders joined to a tree of customers by a declared join."""
     base = q("region").tables
     nodes = tree(q)
-    ways = adjacency(nodes, "id", "parent", None).select("id", F.col("path").alias("way"))
-    tables = {"orders": base("orders"), "nodes": nodes, "ways": ways, "links": links(q)}
+    tables = {"orders": base("orders"), "nodes": nodes}
+    if kind == "materialized_path":
+        tables["ways"] = adjacency(nodes, "id", "parent", None).select("id", F.col("path").alias("way"))
+    if kind == "closure_table":
+        tables["links"] = links(q)
     target = "ways" if kind == "materialized_path" else "nodes"
     d = {
         "source": {"source_table": "orders", "primary_key": "o_orderkey", "fields": ["o_orderkey", "o_custkey"], "associations": {"node": {"queryable": target, "owner_key": "o_custkey", "related_key": "id"}}},

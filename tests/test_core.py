@@ -172,6 +172,17 @@ def test_closure_leaves_out_what_no_root_reaches(spark, lost):
     assert QUERIES["hier_closure"](spark, lost).where("id = 1000000 OR depth IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("kind, way, none", [("adjacency", ("level", "path"), (None, None)), ("path", ("depth", "way"), (None, None))])
+def test_hierarchies_as_joins_build_what_they_need(spark, lost, monkeypatch, kind, way, none):
+    from quarry.plans import catalog, query
+
+    ran = []
+    monkeypatch.setattr(query, "recursive", lambda *a: ran.append(1) or recursive(*a))
+    got = {r.o_orderkey: tuple(r[c] for c in way) for r in catalog.QUERIES[f"hier_join_{kind}"](spark, lost).where("o_orderkey < 10").collect()}
+    assert len(ran) == 1 and [got[-k] for k in (1, 2, 3)] == [none] * 3
+    assert all(v[0] is not None and v[1] for k, v in got.items() if k >= 0)
+
+
 def test_whole_orders_number_all_rows(spark):
     from quarry.plans.catalog import QUERIES
 
