@@ -137,8 +137,9 @@ add("hier_join_path", f"{UP} SELECT o_orderkey, level AS depth, path AS way FROM
     lambda q: treed(q, "materialized_path", path_field="way").select("o_orderkey", ("field", "node.depth", "depth"), ("field", "node.way", "way"))
 )
 add("hier_join_closure", f"{UP}, c AS (SELECT unnest(up) AS a FROM h) SELECT o_orderkey, (SELECT count(*) FROM c WHERE a = o_custkey) AS descendants, level + 1 AS ancestors FROM orders LEFT JOIN h ON o_custkey = id")(
-    lambda q: treed(q, "closure_table", closure_table="links", ancestor_field="a", descendant_field="d", depth_field="depth").select("o_orderkey", ("field", ("max", "node.descendant_count"), "descendants"), ("field", ("count", "node.depth"), "ancestors")).group_by("o_orderkey").df().select("o_orderkey", "descendants", "ancestors")
-)
+    lambda q: treed(q, "closure_table", closure_table="links", ancestor_field="a", descendant_field="d", depth_field="depth").select("o_orderkey", ("field", ("max", "node.descendant_count"), "descendants"), ("field", ("count", "node.depth"), "ancestors")).group_by("o_orderkey").df()
+    .select("o_orderkey", F.coalesce("descendants", F.lit(0)).alias("descendants"), F.nullif("ancestors", F.lit(0)).alias("ancestors"))
+)
 add("join_lateral_declared", "SELECT c_custkey, n FROM customer LEFT JOIN LATERAL (SELECT count(*) AS n FROM orders WHERE o_custkey = c_custkey) ON TRUE")(
     lambda q: q("customer", {"t": {"type": "lateral_join", "columns": ["n"], "query": lambda o: q("orders").tables("orders").where(F.col("o_custkey") == o["c_custkey"]).select(F.count("*").alias("n"))}}).select("c_custkey", "t.n")
 )

@@ -172,7 +172,7 @@ def test_closure_leaves_out_what_no_root_reaches(spark, lost):
     assert QUERIES["hier_closure"](spark, lost).where("id = 1000000 OR depth IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("kind, way, none", [("adjacency", ("level", "path"), (None, None)), ("path", ("depth", "way"), (None, None))])
+@pytest.mark.parametrize("kind, way, none", [("adjacency", ("level", "path"), (None, None)), ("path", ("depth", "way"), (None, None)), ("closure", ("descendants", "ancestors"), (0, None))])
 def test_hierarchies_as_joins_build_what_they_need(spark, lost, monkeypatch, kind, way, none):
     from quarry.plans import catalog, query
 
